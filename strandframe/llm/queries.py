@@ -5,21 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandframe.llm import dedup, urls
+from strandframe.llm import decontam, dedup, packing, quality, secrets, sharding, toxicity, urls
 from strandframe.llm.text import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = toxicity.held_out(F.col("doc_id"))
+    out = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)
+    return out.withColumn("held_out", held)
+
+
+def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.compression_rules(read(spark, sf_dir, "documents"))
+
+
+def op6_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.longest_first(read(spark, sf_dir, "documents"))
+
+
+def op8_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_template_leaks": op2_template_leaks,
     "op3_minhash": op3_minhash,
+    "op4_pattern_packing": op4_pattern_packing,
+    "op5_compression_rules": op5_compression_rules,
+    "op6_longest_first": op6_longest_first,
+    "op8_novelty_secrets": op8_novelty_secrets,
     "op10_url_filter": op10_url_filter,
 }
 
