@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontam, dedup, packing, quality, secrets, sharding, toxicity, urls
+from strandframe.llm import decontam, dedup, lm, packing, quality, secrets, sharding, toxicity, urls
 from strandframe.llm.text import read
 
 
@@ -41,6 +41,11 @@ def op8_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lm.held_out(F.col("doc_id"))
+    return lm.score_texts(read(spark, sf_dir, "documents"), ~held).withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_compression_rules": op5_compression_rules,
     "op6_longest_first": op6_longest_first,
     "op8_novelty_secrets": op8_novelty_secrets,
+    "op9_context_mixing": op9_context_mixing,
     "op10_url_filter": op10_url_filter,
 }
 
