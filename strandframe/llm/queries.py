@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontam, dedup, lm, packing, quality, secrets, sharding, toxicity, urls
+from strandframe.llm import decontam, dedup, lm, packing, pii, quality, secrets, sharding, toxicity, urls
 from strandframe.llm.text import read
 
 
@@ -37,6 +37,10 @@ def op6_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.longest_first(read(spark, sf_dir, "documents"))
 
 
+def op7_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_identifiers(read(spark, sf_dir, "documents"))
+
+
 def op8_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pattern_packing": op4_pattern_packing,
     "op5_compression_rules": op5_compression_rules,
     "op6_longest_first": op6_longest_first,
+    "op7_bootstrap_pii": op7_bootstrap_pii,
     "op8_novelty_secrets": op8_novelty_secrets,
     "op9_context_mixing": op9_context_mixing,
     "op10_url_filter": op10_url_filter,
