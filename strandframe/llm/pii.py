@@ -135,7 +135,9 @@ def learn_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     on patterns and instances run; both sides of a join are tables that Spark can split.
     """
     source = base_spans(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("text").rlike("[0-9]")))
-    held = candidates(source).select(F.explode("cand").alias("c")).select("c.pattern", "c.token", "c.seed")
+    # An outer generator: for an inner one Spark adds a filter on the array, works the whole chain of
+    # span columns into it, and computes them many times over.
+    held = candidates(source).select(F.inline_outer("cand")).where("token is not null").select("pattern", "token", "seed")
     edges = held.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
     edges = table(edges, "edges")
     known = cut(edges.groupBy("token").agg(F.max(F.col("seed").cast("int")).cast("double").alias("belief")))
