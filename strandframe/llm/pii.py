@@ -190,8 +190,11 @@ def mask(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_cha
     """
     names = docs.columns
     df = _with_context(docs.withColumn("__text", F.col(text_col)), "__text") if text_col == "text" else _with_context(docs, text_col)
-    tagged = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS]
-    df = df.withColumn("__spans", F.array_sort(F.concat(*tagged)))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    df = df.withColumn("__spans", F.array_sort(F.concat(*map(tagged, KINDS))))
     t = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
