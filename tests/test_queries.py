@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from strandframe.plans.queries import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def duck():
 
 def _rows(frame):
     columns = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return columns, sorted(([plain(v) for v in r] for r in frame[columns].astype(object).values.tolist()), key=str)
 
 
