@@ -16,8 +16,8 @@ LEVEL = 3
 #: (texts of fewer bytes than this, least ratio, greatest ratio) of bytes to compressed bytes.
 #: Short texts compress little whatever they say, so the bands rise with the length.
 BANDS = (
-    (256, 0.0, 1.60), (512, 0.0, 1.95), (1024, 1.20, 2.00), (2048, 1.38, 2.10), (4096, 1.50, 2.25), (8192, 1.60, 2.30),
-    (16384, 1.60, 2.42), (32768, 1.60, 2.50), (65536, 1.60, 2.60), (float("inf"), 1.60, 2.75),
+    (256, 0.0, 1.60), (512, 0.0, 2.00), (1024, 1.20, 2.10), (2048, 1.38, 2.20), (4096, 1.50, 2.30), (8192, 1.60, 2.40),
+    (16384, 1.60, 2.48), (32768, 1.60, 2.56), (65536, 1.60, 2.65), (float("inf"), 1.60, 2.80),
 )
 #: Bytes of a chunk, the band of a chunk's ratio, and the share of chunks outside it that rejects.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (1.35, 2.50), 0.25
