@@ -17,11 +17,12 @@ from strandframe.operators.state import table
 #: Bounds of the classifier's fit, and of nothing else: labelled examples of each class in the
 #: index, terms tried for it, and terms kept. Every row is scored; document frequencies and the
 #: terms' class counts are taken over all rows and all labelled rows.
-MAX_EXAMPLES, MAX_TRIED, MAX_TERMS = 3000, 200_000, 4096
-#: A term must stand in so many toxic examples, and its class counts differ by so much (G squared).
-LEAST_SUPPORT, LEAST_G2 = 4, 30.0
+MAX_EXAMPLES, MAX_TRIED, MAX_TERMS = 2000, 200_000, 2048
+#: A term must stand in so many toxic examples, its class counts differ by so much (G squared), and
+#: its share of toxic examples be so many times its share of others.
+LEAST_SUPPORT, LEAST_G2, LEAST_LIFT = 4, 30.0, 4.0
 PREFIXES = (4, 5, 6, 7)
-NEIGHBOURS, BLOCK = 9, 64
+NEIGHBOURS, BLOCK = 9, 32
 #: Labels are broadcast up to so many rows; beyond, they are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 
@@ -77,42 +78,60 @@ def g_squared(pos: float, neg: float, all_pos: float, all_neg: float) -> float:
     return 2 * total
 
 
+def distinct_terms(ordered: list[str], pos: dict[str, int], neg: dict[str, int]) -> list[str]:
+    """The terms without beginnings that stand in the same texts as a longer term: they would count twice."""
+    counts = {(t.removeprefix("^"), pos[t], neg.get(t, 0)) for t in ordered}
+    by_counts: dict[tuple[int, int], list[str]] = {}
+    for w, p, n in counts:
+        by_counts.setdefault((p, n), []).append(w)
+    return [t for t in ordered if not (t[0] == "^" and any(w != t[1:] and w.startswith(t[1:]) for w in by_counts[pos[t], neg.get(t, 0)]))]
+
+
 class BlockMaxIndex:
     """Examples in blocks of 64; a block's greatest weight of each term bounds its cosines.
 
     `search` opens blocks from the largest bound down and stops where no closed block can reach
-    the k-th best cosine: the result equals that of comparing with every example.
+    the k-th best cosine: the cosines equal those of comparing with every example.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         self.top = np.zeros((n_terms, self.blocks), dtype=np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (terms, weights) in enumerate(vectors):
-            np.maximum.at(self.top, (terms, i // BLOCK), weights)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lists.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-        self.lists = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for k, v in lists.items()}
+        if not vectors:
+            return
+        term = np.concatenate([t for t, _ in vectors])
+        doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors])
+        np.maximum.at(self.top, (term, doc // BLOCK), weight)
+        order = np.lexsort((doc, term))
+        self.doc, self.weight = doc[order], weight[order]
+        cell = term[order] * self.blocks + self.doc // BLOCK
+        self.at = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))  # where each term's part of each block starts
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a term in common; ties by number."""
-        bound = weights @ self.top[terms]
-        found_i, found_s, worst = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        query = list(zip(terms.tolist(), weights.tolist(), strict=True))
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(found_i) >= k and bound[b] < worst - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in query:
-                if (hit := self.lists.get((t, b))) is not None:
-                    score[hit[0]] += w * hit[1]
-            new = np.nonzero(score > 0)[0]
-            new = new[new + b * BLOCK != skip]
-            found_i, found_s = np.concatenate([found_i, new + b * BLOCK]), np.concatenate([found_s, score[new]])
-            best = np.lexsort((found_i, -found_s))[:k]
-            found_i, found_s = found_i[best], found_s[best]
-            worst = found_s[-1] if len(found_s) >= k else 0.0
-        return found_i, found_s
+        none = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if not self.n:
+            return none
+        bound = np.minimum(weights @ self.top[terms], 1.0)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score, opened, worst, step = np.zeros(self.blocks * BLOCK), 0, 0.0, 2
+        while opened < len(order) and bound[order[opened]] > worst + 1e-12:
+            blocks = order[opened : opened + step]
+            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+                base = t * self.blocks
+                for b in blocks[self.top[t, blocks] > 0].tolist():
+                    part = slice(self.at[base + b], self.at[base + b + 1])
+                    score[self.doc[part]] += w * self.weight[part]
+            if skip >= 0:
+                score[skip] = 0.0
+            opened, step = opened + len(blocks), step * 2
+            if np.count_nonzero(score) >= k:
+                worst = min(np.partition(score, -k)[-k], 1.0)
+        found = np.nonzero(score)[0]
+        best = found[np.lexsort((found, -score[found]))[:k]]
+        return best, score[best]
 
 
 class Model:
@@ -121,7 +140,7 @@ class Model:
     def __init__(self, examples: list[tuple[int, list[int], list[int], int]], idf: np.ndarray, weight: tuple[float, float], prior: float) -> None:
         self.idf, self.prior = idf, prior
         made = [(i, y, *self.vector(terms, tfs)) for i, terms, tfs, y in examples]
-        made.sort(key=lambda e: (int(e[2][np.argmax(e[3])]), e[1], e[0]))  # alike examples share blocks
+        made.sort(key=lambda e: (e[2][np.argsort(-e[3], kind="stable")].tolist(), e[1], e[0]))  # alike examples share blocks
         self.ids = np.array([e[0] for e in made], dtype=np.int64)
         self.y = np.array([e[1] for e in made], dtype=np.int64)
         self.w = np.array([weight[e[1]] for e in made])
@@ -215,8 +234,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
 
     ordered = list(pos)
     neg = {ordered[r[0]]: r[1] for r in labelled.where("y = 0").select("text").mapInArrow(known, "term long, n long").groupBy("term").agg(F.sum("n")).collect()} if pos and n_neg else {}
-    gains = {t: g_squared(n, neg.get(t, 0), n_pos, n_neg) for t, n in pos.items() if n * n_neg > neg.get(t, 0) * n_pos} if n_neg else {}
-    chosen = sorted((t for t, g in gains.items() if g >= LEAST_G2), key=lambda t: (-gains[t], t))[:MAX_TERMS]
+    gains = {t: g_squared(n, neg.get(t, 0), n_pos, n_neg) for t, n in pos.items() if n * n_neg > LEAST_LIFT * neg.get(t, 0) * n_pos} if n_neg else {}
+    chosen = distinct_terms(sorted((t for t, g in gains.items() if g >= LEAST_G2), key=lambda t: (-gains[t], t)), pos, neg)[:MAX_TERMS]
     vocabulary = spark.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
