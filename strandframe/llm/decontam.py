@@ -32,41 +32,56 @@ LITERAL, NUMBER, UNIT, NAME = range(4)
 
 
 class Canon(dict):
-    """raw word -> (hash as a sentence's first word, hash inside one, kind inside, ends a sentence, bare word)."""
+    """raw word -> its number in the tables: hashes as a sentence's first word and inside one, kind, sentence end, bare word."""
 
-    def __missing__(self, raw: str) -> tuple[int, int, int, bool, str]:
-        if len(self) >= _KEPT:
-            self.clear()
+    def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        n = 1 << 16
+        self.first, self.inside = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.kind, self.ends, self.full = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool)
+        self.low: list[str] = []
+
+    def __missing__(self, raw: str) -> int:
         bare = raw.strip(_EDGES)
         low = bare.lower()
         literal = xxhash.xxh3_64_intdigest(low)
         kind = NUMBER if _NUMBER.fullmatch(bare) else UNIT if low in UNITS and len(low) > 1 or raw in ("%", "$", "€", "£") else LITERAL
         if kind == LITERAL and (m := _WITH_UNIT.fullmatch(bare)) and m[2].lower() in UNITS:
             kind = NUMBER
-        if kind != LITERAL:
-            first = inside = kind
-        else:
-            is_name = bare[:1].isupper() and bare[1:2].islower() or len(bare) == 1 and bare.isupper()
-            first, inside, kind = literal, (NAME if is_name else literal), NAME if is_name else LITERAL
-        self[raw] = out = (first, inside, kind, not bare or raw[-1] in ".!?:\"”" or raw.endswith("|"), low)
-        return out
-
-
-def template(text: str, canon: Canon) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes and kinds of the words, and the words themselves without edges."""
-    got = [c for c in map(canon.__getitem__, text.split()) if c[4]]
-    n = len(got)
-    first, inside = (np.fromiter((c[k] for c in got), np.uint64, n) for k in (0, 1))
-    kinds = np.fromiter((c[2] for c in got), np.int8, n)
-    ends = np.fromiter((c[3] for c in got), bool, n)
-    starts = np.concatenate([[True], ends[:-1]]) if n else ends
+        first = inside = literal if kind == LITERAL else kind
+        if kind == LITERAL and (bare[:1].isupper() and bare[1:2].islower() or len(bare) == 1 and bare.isupper()):
+            inside = kind = NAME
+        k = len(self.low)
+        if k == len(self.first):
+            for name in ("first", "inside", "kind", "ends", "full"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.first[k], self.inside[k], self.kind[k], self.full[k] = first, inside, kind, low != ""
+        self.ends[k] = not bare or raw[-1] in ".!?:\"”" or raw.endswith("|")
+        self.low.append(low)
+        self[raw] = k
+        return k
+
+
+def template(text: str, canon: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and kinds of the words, and their numbers in the tables; words of punctuation only are left out."""
+    if len(canon) > _KEPT:
+        canon.reset()
+    raw = text.split()
+    at = np.fromiter(map(canon.__getitem__, raw), np.intp, len(raw))
+    at = at[canon.full[at]]
+    kinds, ends = canon.kind[at], canon.ends[at]
+    starts = np.concatenate([[True], ends[:-1]]) if len(at) else ends
     kinds = np.where(starts & (kinds == NAME), LITERAL, kinds)
-    return np.where(starts, first, inside), kinds, [c[4] for c in got]
+    return np.where(starts, canon.first[at], canon.inside[at]), kinds, at
 
 
 def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None) -> list[tuple[int, int, list[str]]]:
     """(hash, place, slot values) of the windows with enough literal words; only wanted hashes."""
-    hashes, kinds, words = template(text, canon)
+    hashes, kinds, at = template(text, canon)
     n = len(hashes)
     if n == 0:
         return []
@@ -76,7 +91,7 @@ def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None)
     ok = literal[k:] - literal[: n - k + 1] >= min(LITERALS, k)
     if wanted is not None:
         ok &= wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else False
-    return [(int(found[i]), int(i), [f"{kinds[j]}={words[j]}" for j in range(i, i + k) if kinds[j] != LITERAL]) for i in np.nonzero(ok)[0]]
+    return [(int(found[i]), int(i), [f"{kinds[j]}={canon.low[at[j]]}" for j in range(i, i + k) if kinds[j] != LITERAL]) for i in np.nonzero(ok)[0]]
 
 
 _KINDS = "id long, window long, place int, slots array<string>"
