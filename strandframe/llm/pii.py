@@ -19,15 +19,21 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?=[\x20-]?[0-9])[0-9\x20-]*?(?![0-9])(?![\x20-][0-9])"
 #: \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A candidate for discovery: a run without white space, of up to 100 characters, with a digit.
-CANDIDATE = r"(?<!\S)[^\s0-9]{0,40}+[0-9]\S{0,60}+(?!\S)"
+# Candidates for discovery are runs without white space, of any length. Plain ones hold letters (and what
+# is not ASCII) between punctuation at the edges, and no @: none touches a base span, so they are
+# read only if a pattern of such a shape has its seeds elsewhere. Runs of punctuation alone are none.
+_PLAIN = r"[\p{Punct}&&[^@]]*+[^\s\p{Punct}0-9]*+[\p{Punct}&&[^@]]*+(?!\S)"
+CANDIDATE = rf"(?<!\S)(?!{_PLAIN})\S++"
+PLAIN = rf"(?<!\S)(?={_PLAIN})\p{{Punct}}*+[^\s\p{{Punct}}]\S*+"
+PLAIN_SHAPE = "^[aAu]+$"
 
 #: Characters of the gap before a candidate in which its left word is sought.
 LEFT = 48
 ROUNDS = 3
-#: A pattern is used if so many distinct seeds stand in it and its score reaches the bound; of
-#: those the best MOST_PATTERNS are applied.
-LEAST_SEEDS, LEAST_SCORE, MOST_PATTERNS = 3, 0.8, 512
+#: Every pattern is used in which so many distinct seeds stand and whose score reaches the bound.
+LEAST_SEEDS, LEAST_SCORE = 3, 0.8
+#: Characters up to which patterns, shapes or discovered spans are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_CHARS = 8_000_000
 #: Weight of the doubt that every pattern starts with, in instances.
 DOUBT = 0.5
 
@@ -53,7 +59,7 @@ def _chunk_totals(lengths: str) -> Column:
 def located(df: DataFrame, out: str, text: str, pattern: str, may: Column) -> DataFrame:
     """`df` with `out`: the matches as (start, end, found, before), in code points.
 
-    `before` has the last LEFT characters since the match before. None where `may` is false.
+    `before` has the last LEFT characters since the start of the match before. None where `may` is false.
     Arrays become columns step by step, as a lambda makes what it closes over anew each time.
     """
     t = F.col(text)
@@ -66,10 +72,12 @@ def located(df: DataFrame, out: str, text: str, pattern: str, may: Column) -> Da
     before = F.aggregate(sums, F.struct(F.lit(0).alias("at"), zero.alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
     df = df.withColumn("__before", before)
     df = df.withColumn("__ends", F.flatten(F.zip_with("__local", "__before", lambda x, o: F.transform(x, lambda v: v + o))))
-    pairs = F.zip_with("__found", F.slice("__gaps", 1, F.size("__found")), lambda m, g: F.struct(m.alias("found"), F.substring(g, -LEFT, LEFT).alias("before")))
+    df = df.withColumn("__last", F.concat(F.array(F.lit("")), F.transform("__found", lambda m: F.substring(m, -LEFT, LEFT))))
+    df = df.withColumn("__left", F.zip_with("__last", "__gaps", lambda m, g: F.substring(F.concat(m, F.coalesce(g, F.lit(""))), -LEFT, LEFT)))
+    pairs = F.zip_with("__found", F.slice("__left", 1, F.size("__found")), lambda m, b: F.struct(m.alias("found"), b.alias("before")))
     spans = F.zip_with(pairs, "__ends", lambda p, e: F.struct((e - F.length(p["found"])).alias("start"), e.alias("end"), p["found"].alias("found"), p["before"].alias("before")))
     spans = F.when(F.size("__found") > 0, spans).otherwise(_empty())
-    return df.withColumn(out, spans).drop("__found", "__gaps", "__lengths", "__local", "__before", "__ends")
+    return df.withColumn(out, spans).drop("__found", "__gaps", "__lengths", "__local", "__before", "__ends", "__last", "__left")
 
 
 def _digits(x: Column) -> Column:
@@ -102,44 +110,60 @@ def _all_base() -> Column:
     return F.concat("email", "ip", "card", "phone")
 
 
-def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df`, after base_spans, with `cand`: (start, end, token, pattern, seed) of each candidate.
+def candidates(df: DataFrame, text: str = "text", pattern: str = CANDIDATE) -> DataFrame:
+    """`df`, after base_spans, with `cand`: (start, end, token, shape, pattern, seed) of each candidate.
 
-    The token is the run without the punctuation at its edges; its pattern is the word on its
-    left, lower-cased, and the token's shape; seed tells that it touches a base span.
+    The token is the run without the punctuation at its edges, of 6 characters or more; its
+    pattern is the word on its left, lower-cased, and the token's shape; seed tells that it
+    touches a base span.
     """
-    t = F.col(text)
-    bare = lambda x: F.regexp_replace(x, r"^[\p{Punct}]{1,40}+(?!$)|(?<=.)[\p{Punct}]{1,60}+$", "")
-    df = located(df, "runs", text, CANDIDATE, t.rlike("[0-9]")).withColumn("spans0", _all_base())
+    bare = lambda x: F.regexp_replace(x, r"^\p{Punct}++(?!$)|(?<!\p{Punct})\p{Punct}++$", "")
+    df = located(df, "runs", text, pattern, F.lit(True)).withColumn("spans0", _all_base())
 
     def one(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["found"], r"^([\p{Punct}]{0,40}+)(?!$)", 1))
+        lead = F.length(F.regexp_extract(x["found"], r"^(\p{Punct}*+)(?!$)", 1))
         token = bare(x["found"])
         begin = x["start"] + lead
         left = F.lower(F.regexp_extract(x["before"], r"(\S{1,40})\s{1,3}$", 1))
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]{1,80}", "a"), "[A-Z]{1,80}", "A"), "[0-9]", "9"), r"[^\x21-\x7e]{1,80}", "u")
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]++", "a"), "[A-Z]++", "A"), "[0-9]", "9"), r"[^\x21-\x7e]++", "u")
         seed = F.exists("spans0", lambda s: (s["start"] < begin + F.length(token)) & (begin < s["end"]))
-        return F.struct(begin.alias("start"), (begin + F.length(token)).alias("end"), token.alias("token"), F.concat_ws(" ", left, shape).alias("pattern"), seed.alias("seed"), (left != "").alias("has_left"))
+        return F.struct(begin.alias("start"), (begin + F.length(token)).alias("end"), token.alias("token"), shape.alias("shape"), F.concat_ws(" ", left, shape).alias("pattern"), seed.alias("seed"), (left != "").alias("has_left"))
 
     cand = F.when(F.size("runs") > 0, F.filter(F.transform("runs", one), lambda c: c["has_left"] & (F.length(c["token"]) >= 6)))
     return df.withColumn("cand", cand).drop("runs", "spans0")
 
 
-def learn_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """pattern, score, seeds: patterns that hold mostly known identifiers.
+def near(df: DataFrame, *texts: str) -> DataFrame:
+    """`df`, marked for broadcast if its texts are few."""
+    size = df.agg(F.sum(sum((F.length(t) + 40 for t in texts), F.lit(0)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_CHARS else df
+
+
+def _held(source: DataFrame, pattern: str) -> DataFrame:
+    # An outer generator: for an inner one Spark adds a filter on the array, works the whole chain of
+    # span columns into it, and computes them many times over.
+    return candidates(base_spans(source), pattern=pattern).select("digest", F.inline_outer("cand")).where("token is not null").drop("has_left")
+
+
+def learn_patterns(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pattern, score, seeds) of the patterns that hold mostly known identifiers, and the candidates.
 
     Pattern and instance (token) form a bipartite graph over the whole table. Seeds have
     confidence 1. In each round a pattern's score is the mean confidence of its distinct
     instances, with half an instance of doubt, and an unknown instance's confidence is the mean
     score of its distinct patterns; patterns with few seeds score 0. Only aggregates and joins
-    on patterns and instances run; both sides of a join are tables that Spark can split.
+    on patterns and instances run; both sides of a join are tables that Spark can split. A
+    token's patterns all end in its shape, so shapes in which no pattern has its seeds are left
+    out of the graph without a change to a score.
     """
-    source = base_spans(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("text").rlike("[0-9]")))
-    # An outer generator: for an inner one Spark adds a filter on the array, works the whole chain of
-    # span columns into it, and computes them many times over.
-    held = candidates(source).select(F.inline_outer("cand")).where("token is not null").select("pattern", "token", "seed")
-    edges = held.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
-    edges = table(edges, "edges")
+    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    held = table(_held(source, CANDIDATE), "candidates")
+    seeded = held.where("seed").groupBy("shape", "pattern").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= LEAST_SEEDS)
+    shapes = table(seeded.select("shape").distinct(), "shapes")
+    if not shapes.where(F.col("shape").rlike(PLAIN_SHAPE)).isEmpty():
+        held = held.unionByName(table(_held(source, PLAIN), "plain"))
+    held = held.join(near(shapes, "shape"), "shape", "left_semi")
+    edges = table(held.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
     known = cut(edges.groupBy("token").agg(F.max(F.col("seed").cast("int")).cast("double").alias("belief")))
     support = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"))
     belief = known
@@ -148,16 +172,23 @@ def learn_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
         scores = cut(scores.join(support, "pattern").withColumn("score", F.when(F.col("seeds") >= LEAST_SEEDS, F.col("score")).otherwise(0.0)))
         heard = edges.join(scores, "pattern").groupBy("token").agg(F.avg("score").alias("heard"))
         belief = cut(known.join(cut(heard), "token").select("token", F.greatest("belief", "heard").alias("belief")))
-    return scores.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("score") >= LEAST_SCORE))
+    return scores.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("score") >= LEAST_SCORE)), held
 
 
 def _with_context(docs: DataFrame, text_col: str) -> DataFrame:
-    """`docs` with base span columns and `context`: spans that confident patterns discover."""
-    best = [r["pattern"] for r in learn_patterns(docs, text_col).orderBy(F.desc("seeds"), F.desc("score"), "pattern").limit(MOST_PATTERNS).select("pattern").collect()]
-    df = candidates(base_spans(docs.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))))
-    good = F.array(*map(F.lit, best)) if best else F.array().cast("array<string>")
-    new = F.filter("cand", lambda c: ~c["seed"] & F.array_contains(good, c["pattern"]))
-    return df.withColumn("context", F.coalesce(F.transform(new, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("found"), F.lit("").alias("before"))), _empty())).drop("cand")
+    """`docs` with base span columns and `context`: spans that confident patterns discover.
+
+    Equal texts have equal spans: discovered spans are gathered by the text's digest.
+    """
+    good, held = learn_patterns(docs, text_col)
+    new = held.where("not seed").join(near(table(good.select("pattern"), "patterns"), "pattern"), "pattern", "left_semi").select("digest", "start", "end", "token").distinct()
+    span = F.struct("start", "end", F.col("token").alias("found"), F.lit("").alias("before"))
+    spans = table(new.groupBy("digest").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.sum(F.length("token") + 24).alias("size")), "contexts")
+    size = spans.agg(F.sum("size")).first()[0] or 0
+    spans = spans.select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans0"))
+    df = docs.withColumn("text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__digest", F.md5("text"))
+    df = df.join(F.broadcast(spans) if size <= BROADCAST_CHARS else spans, "__digest", "left")
+    return base_spans(df).withColumn("context", F.coalesce("__spans0", _empty())).drop("__spans0", "__digest")
 
 
 def _listed(kind: str) -> Column:
@@ -169,9 +200,9 @@ def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Spans are kind:start:end in code points, ends exclusive, by kind and then start. Base kinds
     are leftmost and do not overlap within a kind; matches that fail their check are dropped.
-    `context` spans are tokens with a digit, of 6 to 100 characters, that touch no base span and
-    stand in a pattern learned from the whole table: a left word and a shape that hold mostly
-    known identifiers. Null and empty texts have no span and the digest of "". Null ids and
+    `context` spans are tokens of 6 characters or more that touch no base span and stand in a
+    pattern learned from the whole table: a left word and a shape that hold mostly known
+    identifiers. Null and empty texts have no span and the digest of "". Null ids and
     repeated rows come back as they are; other columns are not read.
     """
     df = _with_context(docs.select(F.col(id_col), F.col(text_col)), text_col)

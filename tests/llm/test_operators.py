@@ -235,6 +235,21 @@ def test_contexts_discover_and_mask(spark):
     assert pii.mask(df).columns == df.columns
 
 
+def test_every_confident_pattern_is_applied(spark):
+    rows = [(10 * i + k, f"key{i:03d} {'300' if k == 8 else '100'}.0.0.{k}") for i in range(530) for k in range(9)]
+    got = pii.find_identifiers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(g.spans == ("context:7:16" if g.doc_id % 10 == 8 else "ip:7:16") for g in got) and len(got) == len(rows)
+
+
+def test_long_and_digit_free_tokens_teach_and_are_found(spark):
+    ext = "x" * 120
+    rows = [(k, f"mail {n}@dom.org ok") for k, n in enumerate(("anna", "bert", "cora", "dora", "emil", "fred"))] + [(10, "mail anna@\u00e9.org ok"), (11, f"mail {ext}@dom.org")]
+    rows += [(20 + k, f"mail %@{n}.- ok") for k, n in enumerate(("letters", "numbers", "figures", "symbols", "strings", "phrases"))] + [(30, "mail penpals ok"), (31, "other penpals ok"), (32, "mail " + "w" * 200)]
+    got = {r.doc_id: r for r in pii.find_identifiers(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[30].spans == "context:5:12" and got[32].spans == "context:5:205"
+    assert got[0].n_email == got[11].n_email == 1 and got[0].n_context == 0
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 
