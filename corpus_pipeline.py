@@ -14,6 +14,10 @@ from strandframe.llm.text import read
 from strandframe.operators.state import table
 
 
+#: Similarity of word shingles, in percent, from which documents are near copies.
+NEAR = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that the toxicity score rejects."""
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the least id, of each group of near copies."""
-    return dedup.keep_one(docs)
+    return dedup.keep_one(docs, percent=NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

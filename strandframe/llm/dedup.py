@@ -15,14 +15,26 @@ from strandframe.operators.components import connected_components
 from strandframe.operators.state import cut, table
 
 WIDTH = 5
-BANDS, ROWS = 24, 5
-#: A link: NUM * |A and B| >= ... as 100 * intersection >= PERCENT * union.
+MINIMA = 120
+#: A link: 100 * intersection >= percent * union; PERCENT where none is given.
 PERCENT = 85
+#: Greatest probability that a pair of the wanted similarity shares no band.
+MISS = 1e-6
 #: Documents of one side of a comparison block; a bucket beyond it is compared block by block.
 BLOCK = 96
-#: Agreement of two signatures below which sets of the wanted similarity are not met in practice:
-#: five standard deviations under it for 120 minima.
-SLACK = 0.165
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows over the minima: the longest bands, of 5 rows at most, by which a pair is missed with at most MISS."""
+    fits = (r for r in (5, 4, 3, 2) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISS)
+    rows = next(fits, 1)
+    return MINIMA // rows, rows
+
+
+def least_agreement(percent: int) -> float:
+    """Agreement of two signatures below which sets of the wanted similarity are not met in practice: five standard deviations under it."""
+    p = percent / 100
+    return p - 5.1 * (p * (1 - p) / MINIMA) ** 0.5
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +48,7 @@ def shingle_set(text: bytes, words: Hashes, width: int = WIDTH) -> np.ndarray:
     return np.unique(windows(word_hashes(text, words), width))
 
 
-def signature(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, n: int = MINIMA) -> np.ndarray:
     """Minima of n multiply-shift hashes of the set, 32 bits each."""
     a, b = _signature_tables(n)
     x = shingles >> np.uint64(32)
@@ -55,8 +67,8 @@ def _signature_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[n]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Hashes()
+def _sketch(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    words, shape = Hashes(), banding(percent)
     for batch in batches:
         out: list[list] = [[], [], []]
         for text in batch.column(1).to_pylist():
@@ -64,7 +76,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0].append(len(s))
             if len(s):
                 out[1].append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands = signature(s).reshape(BANDS, ROWS)
+                bands = signature(s).reshape(shape)
                 out[2].append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i + 1) - 2**63 for i, x in enumerate(bands)])
             else:
                 out[1].append(None)
@@ -87,10 +99,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures may agree and whose full sets do. Pairs come sorted by a."""
     words, at, held = Hashes(), None, None
-    floor = PERCENT / 100 - SLACK
+    floor = least_agreement(percent)
     for batch in batches:
         d = batch.to_pydict()
         a, b = [], []
@@ -99,13 +111,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if at != i:
                 at, held = i, shingle_set(x, words)
-            if linked(held, shingle_set(y, words)):
+            if linked(held, shingle_set(y, words), percent):
                 a.append(i)
                 b.append(j)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
 
-def _block_links(group: list[dict], words: Hashes) -> list[tuple[int, int]]:
+def _block_links(group: list[dict], words: Hashes, percent: int) -> list[tuple[int, int]]:
     """A forest of confirmed links between the components of one block."""
     root: dict[int, int] = {}
 
@@ -116,10 +128,10 @@ def _block_links(group: list[dict], words: Hashes) -> list[tuple[int, int]]:
 
     sigs = np.stack([np.frombuffer(r["sig"], np.uint32) for r in group])
     comp = np.array([r["comp"] for r in group])
-    pairs = []
+    pairs, floor = [], least_agreement(percent)
     for i in range(len(group) - 1):
         agree = (sigs[i + 1 :] == sigs[i]).mean(axis=1)
-        pairs += [(-agree[j], i, i + 1 + j) for j in np.nonzero((agree >= PERCENT / 100 - SLACK) & (comp[i + 1 :] != comp[i]))[0]]
+        pairs += [(-agree[j], i, i + 1 + j) for j in np.nonzero((agree >= floor) & (comp[i + 1 :] != comp[i]))[0]]
     sets: dict[int, np.ndarray] = {}
     out = []
     for _, i, j in sorted(pairs):
@@ -127,30 +139,31 @@ def _block_links(group: list[dict], words: Hashes) -> list[tuple[int, int]]:
             for k in (i, j):
                 if k not in sets:
                     sets[k] = shingle_set(group[k]["text"], words)
-            if linked(sets[i], sets[j]):
+            if linked(sets[i], sets[j], percent):
                 root[find(int(comp[i]))] = find(int(comp[j]))
                 out.append((group[i]["id"], group[j]["id"]))
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     words = Hashes()
     for group in sorted_groups(batches, "block"):
-        if out := _block_links(group, words):
+        if out := _block_links(group, words, percent):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of `docs`.
 
     A-Z are lower-cased; a document's set has its distinct 5-word shingles, or its whole word
-    sequence if shorter. Two documents are linked if 100 * intersection >= 85 * union; null,
+    sequence if shorter. Two documents are linked if 100 * intersection >= `percent` * union; null,
     empty and blank texts have no set and no link. component_id is the least id reachable and
     kept marks that document. Rows of equal id are one node and each comes back; a null id comes
     back alone, linked with nothing. Columns beside the two named are not read.
 
-    1. One pass sketches every text: the set's size and digest, and 24 band keys over 120 minima.
-       At similarity 0.85 a pair shares no band with probability 7e-7.
+    1. One pass sketches every text: the set's size and digest, and band keys over 120 minima
+       (24 of 5 at 85 percent, 30 of 4 at 80), by which a pair of the wanted similarity is missed
+       with probability MISS at most.
     2. Equal sets collapse into their least id by a partial aggregate.
     3. Each band bucket links its members to its least member: as many pairs as members, not all.
        Signatures screen the pairs, full sets confirm them, and components form.
@@ -160,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession, 500)
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    base = table(source.mapInArrow(_sketch, "id long, n_shingles long, same binary, bands array<long>"), "sketch")
+    base = table(source.mapInArrow(lambda b: _sketch(b, percent), "id long, n_shingles long, same binary, bands array<long>"), "sketch")
     reps = table(base.where("id is not null and n_shingles > 0").groupBy("same").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "sets")
     spread = reps.select("rep", F.explode("bands").alias("band"))
     shared = cut(spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("star")).where("members > 1"))
@@ -173,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("sig").alias("sb"))
     stars = members.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = stars.join(right, "b").join(left, "a").select("a", "b", "ta", "tb", "sa", "sb")
-    links = cut(pairs.sortWithinPartitions("a").mapInArrow(_verify, "u long, v long"))
+    links = cut(pairs.sortWithinPartitions("a").mapInArrow(lambda b: _verify(b, percent), "u long, v long"))
     first = cut(connected_components(links))
 
     known = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -193,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = F.col("members") <= BLOCK
     spot = spot.select(F.col("rep").alias("id"), "comp", F.explode(F.when(few, single).when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_other))).alias("block"))
     blocks = spot.join(texts, "id").repartition("block").sortWithinPartitions("block", "id")
-    more = cut(blocks.select("block", "id", "comp", "text", "sig").mapInArrow(_blocks, "u long, v long"))
+    more = cut(blocks.select("block", "id", "comp", "text", "sig").mapInArrow(lambda b: _blocks(b, percent), "u long, v long"))
 
     if more.isEmpty():
         final = first
@@ -205,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` without those that near-copy a smaller id; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(id_col)
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(id_col)
     return docs.join(gone, id_col, "left_anti")

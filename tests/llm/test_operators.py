@@ -89,6 +89,21 @@ def test_blocks_beyond_their_size_lose_no_link(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]
+    rows = []
+    for k, edits in enumerate((2, 3)):  # 100 shingles; 5 go and 5 come with each edit: 90 of 110, 85 of 115
+        words_ = [f"{k}{w}" for w in base]
+        changed = [f"x{i}" if i in range(10, 10 + 20 * edits, 20) else w for i, w in enumerate(words_)]
+        rows += [(2 * k, " ".join(words_), "en", "s", 1), (2 * k + 1, " ".join(changed), "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {0, 2, 3}
+    assert dedup.keep_one(df).count() == 4
+    assert all((1 - (p / 100) ** r) ** b <= dedup.MISS for p in (80, 85) for b, r in [dedup.banding(p)])
+
+
 def test_near_duplicates_odd(odd, empty):
     got = dedup.near_duplicates(odd).collect()
     assert len(got) == 9
