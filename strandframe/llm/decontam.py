@@ -79,31 +79,36 @@ def template(text: str, canon: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.where(starts, canon.first[at], canon.inside[at]), kinds, at
 
 
-def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None) -> list[tuple[int, int, list[str]]]:
-    """(hash, place, slot values) of the windows with enough literal words; only wanted hashes."""
+def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None, widths: tuple[int, ...] = ()) -> list[tuple[int, int, list[str], int]]:
+    """(hash, place, slot values, width) of the windows with enough literal words; only wanted hashes.
+
+    Windows are WINDOW words or a whole shorter text, and of each of `widths` below that.
+    """
     hashes, kinds, at = template(text, canon)
     n = len(hashes)
     if n == 0:
         return []
-    k = min(WINDOW, n)
-    found = windows(hashes, WINDOW).view(np.int64)
     literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    ok = literal[k:] - literal[: n - k + 1] >= min(LITERALS, k)
-    if wanted is not None:
-        ok &= wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else False
-    return [(int(found[i]), int(i), [f"{kinds[j]}={canon.low[at[j]]}" for j in range(i, i + k) if kinds[j] != LITERAL]) for i in np.nonzero(ok)[0]]
+    out = []
+    for k in sorted({min(WINDOW, n), *(w for w in widths if w < min(WINDOW, n))}):
+        found = windows(hashes, k).view(np.int64)
+        ok = literal[k:] - literal[: n - k + 1] >= min(LITERALS, k)
+        if wanted is not None:
+            ok &= wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else False
+        out += [(int(found[i]), int(i), [f"{kinds[j]}={canon.low[at[j]]}" for j in range(i, i + k) if kinds[j] != LITERAL], k) for i in np.nonzero(ok)[0]]
+    return out
 
 
-_KINDS = "id long, window long, place int, slots array<string>"
+_KINDS = "id long, window long, place int, slots array<string>, width int"
 
 
-def _rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, widths: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
     canon = Canon()
     for batch in batches:
-        out = [(i, *w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in template_windows(text.decode(), canon, wanted)]
+        out = [(i, *w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in template_windows(text.decode(), canon, wanted, widths)]
         for k in range(0, len(out), 50_000):
             cols = zip(*out[k : k + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], ["id", "window", "place", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()), strict=True)], ["id", "window", "place", "slots", "width"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -111,7 +116,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Words become templates: numbers, units of measure and names (capitals within a sentence)
     turn into typed placeholders, others are lower-cased and bared of punctuation. Windows of 8
-    template words, or a whole shorter item, join on their hash. A pair counts if the document
+    template words, or of a whole shorter item's length, join on their hash. A pair counts if the document
     holds half of the item's distinct windows and the slots agree: each of the item's values
     answers to one value of the document, as in a copy or in a question put with other numbers
     and names. Texts without words and null ids give nothing; repeated rows count once.
@@ -121,13 +126,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     small_batches(spark, 500)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
     asked = items.mapInArrow(lambda b: _rows(b, None), _KINDS).dropDuplicates(["id", "window"]).withColumnsRenamed({"id": "item", "slots": "item_slots", "place": "item_place"}).cache()
+    widths = tuple(r[0] for r in asked.select("width").distinct().collect() if r[0] < WINDOW)
     few = asked.count() <= BROADCAST_WINDOWS
     wanted = None
     if few:
         wanted = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in asked.select("window").distinct().collect()), dtype=np.int64))
     sizes = asked.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
-    seen = source.mapInArrow(lambda b: _rows(b, wanted.value if wanted else None), _KINDS)
+    seen = source.mapInArrow(lambda b: _rows(b, wanted.value if wanted else None, widths), _KINDS).drop("width")
     hits = seen.join(F.broadcast(asked) if few else asked, "window")
     pairs = F.when(F.size("slots") == F.size("item_slots"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     per = hits.groupBy("id", "item").agg(F.count_distinct("window").alias("matched"))

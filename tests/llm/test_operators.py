@@ -361,6 +361,14 @@ def test_leaks(spark, odd, empty):
     assert decontam.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_in_longer_documents(spark):
+    filler = "some other words that fill the page before and after it goes on"
+    docs = [(1, f"{filler}. What is the capital of France? {filler}."), (2, "What is the capital of France?"), (3, f"{filler}. What is the weather like? {filler}.")]
+    bench = spark.createDataFrame([(10, "What is the capital of France?")], "item_id long, text string")
+    got = {r.doc_id for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1, 2}
+
+
 # --- urls -----------------------------------------------------------------------------------
 
 
