@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.text import small_batches, utf8, windows
+from strandframe.operators.state import table
 
 WINDOW = 8
 #: Words of a window that must not be placeholders.
@@ -119,30 +120,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     template words, or of a whole shorter item's length, join on their hash. A pair counts if the document
     holds half of the item's distinct windows and the slots agree: each of the item's values
     answers to one value of the document, as in a copy or in a question put with other numbers
-    and names. Texts without words and null ids give nothing; repeated rows count once.
+    and names. Both are asked of the whole document and of each occurrence in it: hits of one
+    alignment (document place minus item place), and hits whose alignments differ by less than
+    half the item's length, as words put in or left out shift them. The pair counts if any
+    passes; its figures are those of the passing one with the greatest coverage. Texts without words and null ids give nothing; repeated rows count once.
     Columns beside the three named are not read.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
-    asked = items.mapInArrow(lambda b: _rows(b, None), _KINDS).dropDuplicates(["id", "window"]).withColumnsRenamed({"id": "item", "slots": "item_slots", "place": "item_place"}).cache()
+    asked = items.mapInArrow(lambda b: _rows(b, None), _KINDS).groupBy("id", "window", "slots", "width").agg(F.min("place").alias("place")).withColumnsRenamed({"id": "item", "slots": "item_slots", "place": "item_place"}).cache()
     widths = tuple(r[0] for r in asked.select("width").distinct().collect() if r[0] < WINDOW)
     few = asked.count() <= BROADCAST_WINDOWS
     wanted = None
     if few:
         wanted = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in asked.select("window").distinct().collect()), dtype=np.int64))
-    sizes = asked.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
+    sizes = asked.groupBy("item").agg(F.count_distinct("window").alias("n_windows"), (F.max("item_place") + F.max("width")).alias("n_words"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
     seen = source.mapInArrow(lambda b: _rows(b, wanted.value if wanted else None, widths), _KINDS).drop("width")
-    hits = seen.join(F.broadcast(asked) if few else asked, "window")
+    hits = table(seen.join(F.broadcast(asked.drop("width")) if few else asked.drop("width"), "window"), "hits")
+    lengths = F.broadcast(sizes) if few else sizes
+    whole = hits.groupBy("id", "item").agg(F.count_distinct("window").alias("matched")).join(lengths, "item")
+    whole = table(whole.where(F.col("matched") / F.col("n_windows") >= COVERAGE).drop("matched"), "held")
+    shift = F.col("place") - F.col("item_place")
+    band = lambda offset: F.floor((shift + F.floor(F.col("n_words") * offset)) / F.col("n_words"))
+    keys = F.array(F.lit("all"), F.concat(F.lit("at"), shift), F.concat(F.lit("a"), band(0)), F.concat(F.lit("b"), band(0.5)))
+    spots = hits.join(whole, ["id", "item"]).withColumn("spot", F.explode(keys))
+    per = spots.groupBy("id", "item", "spot").agg(F.count_distinct("window").alias("matched"), F.first("n_windows").alias("n_windows"))
+    per = per.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE)
     pairs = F.when(F.size("slots") == F.size("item_slots"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    per = hits.groupBy("id", "item").agg(F.count_distinct("window").alias("matched"))
-    slots = hits.select("id", "item", F.explode(pairs).alias("p")).select("id", "item", "p.a", "p.b").distinct()
-    agreed = slots.groupBy("id", "item").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("values"))
-    per = per.join(F.broadcast(sizes) if few else sizes, "item").withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE)
-    per = per.join(agreed, ["id", "item"], "left").withColumn("consistency", F.coalesce(F.col("values") / F.col("pairs"), F.lit(1.0)))
-    out = per.where(F.col("consistency") >= CONSISTENCY)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "coverage", "consistency", F.coalesce("values", F.lit(0)).alias("n_slots"))
+    slots = spots.select("id", "item", "spot", F.explode(pairs).alias("p")).select("id", "item", "spot", "p.a", "p.b").distinct()
+    agreed = slots.groupBy("id", "item", "spot").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("values"))
+    per = per.join(agreed, ["id", "item", "spot"], "left").withColumn("consistency", F.coalesce(F.col("values") / F.col("pairs"), F.lit(1.0)))
+    best = per.where(F.col("consistency") >= CONSISTENCY).groupBy("id", "item").agg(F.max(F.struct("coverage", "consistency", F.coalesce("values", F.lit(0)).alias("n_slots"))).alias("best"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.coverage", "best.consistency", "best.n_slots")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

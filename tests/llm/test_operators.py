@@ -361,6 +361,17 @@ def test_leaks(spark, odd, empty):
     assert decontam.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_beside_variants_of_the_same_item(spark):
+    item = "Tom had 12 apples and gave 5 of them to Mary before he walked 3 km to meet Anna at the old station"
+    other = item.replace("12", "40").replace("5 ", "8 ").replace("Mary", "Lena").replace("3 ", "6 ").replace("Anna", "Olga")
+    third = item.replace("12", "77").replace("5 ", "9 ").replace("Mary", "Rosa").replace("3 ", "4 ").replace("Anna", "Ruth")
+    mixed = item.replace("gave 5", "then gave 5")  # a word put in shifts the rest
+    docs = [(1, item), (2, f"{item}. {other}."), (3, f"{other}. {item}. {third}."), (4, f"{mixed}. {other}. {third}."), (5, "Tom had 12 pears and no more")]
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2].coverage == got[2].consistency == 1.0
+
+
 def test_leaks_of_short_items_in_longer_documents(spark):
     filler = "some other words that fill the page before and after it goes on"
     docs = [(1, f"{filler}. What is the capital of France? {filler}."), (2, "What is the capital of France?"), (3, f"{filler}. What is the weather like? {filler}.")]
