@@ -43,18 +43,34 @@ _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
+def plain_path(path: Column) -> Column:
+    """A path from / with its . and .. segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    at_folder = path.rlike(r"/\.\.?$")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(at_folder & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The address that a target names on the page at `base`; null for schemes without "://"."""
+    own, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), url_path(base)
+    head, tail = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    target = F.when(head == "", path).when(head.startswith("/"), plain_path(head)).otherwise(plain_path(F.concat(folder, head)))
+    return F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(own, target, tail))
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """from_url, to_url: redirect and canonical links of each page's html, without repeats.
 
-    Only absolute targets name another host; targets that start with one slash stay on the
-    page's own host, and others are left out.
+    Relative targets are resolved against the page's own address; targets of schemes without
+    "://", such as mailto:, name no page and are left out.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     found = F.when(html.rlike(r"(?i)canonical|http-equiv"), F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1))))
     out = pages.where(F.instr("url", "://") > 0).select(F.col("url").alias("from_url"), F.explode(found).alias("to"))
-    own = F.regexp_extract("from_url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").rlike("^/[^/]|^/$"), F.concat(own, F.col("to"))).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-    return out.select("from_url", to.alias("to_url")).where("to_url is not null").distinct()
+    return out.select("from_url", resolved(F.col("from_url"), F.col("to")).alias("to_url")).where("to_url is not null").distinct()
 
 
 def url_node(url: Column) -> Column:

@@ -400,6 +400,15 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_relative_targets(spark):
+    cases = [("index2.html", "http://h.net/a/b/index2.html"), ("./x", "http://h.net/a/b/x"), ("../en/x?q", "http://h.net/a/en/x?q"), ("../../../x", "http://h.net/x"), ("..", "http://h.net/a/"), ("/r/../s", "http://h.net/s"), ("//o.net/p", "http://o.net/p"), ("https://o.net/p", "https://o.net/p"), ("?q=http://z", "http://h.net/a/b/c?q=http://z"), ("mailto:a@b.c", None), ("/", "http://h.net/"), ("/a/", "http://h.net/a/")]
+    df = spark.createDataFrame([("http://h.net/a/b/c?x", t, w) for t, w in cases] + [("http://h.net", "x", "http://h.net/x")], "base string, to string, want string")
+    assert [(r.to, r.got) for r in df.select("to", "want", urls.resolved(F.col("base"), F.col("to")).alias("got")).collect() if r.got != r.want] == []
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://ok.com/a/b", link.format("../en/x")), (2, "http://ok.com/en/x", link.format("http://spam.net/"))]
+    assert {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {1: "block", 2: "block"}
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from strandframe.llm.queries import QUERIES
