@@ -2,21 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash table before it starts anew; bounds its memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Bytes of an Arrow batch, and of the texts worked on at once; a longer text comes alone.
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that long texts fit a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of so many rows and BATCH_BYTES at most, so that long texts fit a Python worker.
+
+    Plans read these settings when they run, so they stay lowered in the session; they change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is not None and not 0 < int(now.rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a column of bytes holds `most` at most, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def lean(work: Callable) -> Callable:
+    """`work` on batches; at its end the worker gives its free memory back, as workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library frees by its own rules
+            pass
+
+    return run
 
 
 def utf8(col: str) -> Column:

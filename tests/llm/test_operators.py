@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -303,6 +304,99 @@ def test_lm(spark, odd, empty):
     assert lm.score_texts(odd, F.lit(False)).where("train_tokens = 0").count() == 9
 
 
+def test_lm_equals_brute_force(spark):
+    r = random.Random(8)
+    vocabulary = ["w%d" % int(r.paretovariate(0.8)) for _ in range(300)]
+    rows = [(i, " ".join(r.choices(vocabulary, k=r.randint(1, 90) if i % 9 else 700)) + f" only{i}" * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") % 4 != 0
+    got = {x.doc_id: x for x in lm.score_texts(df, train).collect()}
+    again = {x.doc_id: x for x in lm.score_texts(df.repartition(7), train).collect()}
+    assert all(got[i].score == again[i].score and got[i].text_score == again[i].text_score for i, _ in rows)
+
+    texts = {i: t.encode() for i, t in rows}
+    count = collections.Counter(w for i, t in rows if i % 4 for w in [*t.encode().split(), b"\n"])
+    total = sum(count.values())
+    tree = sorted(((w, n) for w, n in count.items() if n > 1), key=lambda x: (-x[1], x[0]))
+    beyond = [w for w, n in count.items() if n == 1]
+    code = lm.Coder(tree, len(beyond), total)
+    known_share = len(beyond) / (2 * len(beyond))
+    by_class, by_word = collections.Counter(), collections.Counter()
+
+    def steps(text):
+        flat, _, sym, place, row, _, kind = code.units([text])
+        for w, s, at, r_ in zip(flat, sym.tolist(), place.tolist(), row.tolist(), strict=True):
+            path = code.path[code.starts[s] : code.starts[s] + code.lengths[s]].tolist()
+            yield w, s, at, r_, int(kind[0]), [(x >> 1, x & 1) for x in path]
+
+    for i, t in texts.items():
+        if i % 4:
+            for _, _, _, r_, k, path in steps(t):
+                for node, bit in path:
+                    by_class[k, node, bit] += 1
+                    by_word[r_, node, bit] += 1
+
+    def odds(table, key, node):
+        p0, n0, n1 = code.p0[node], table[key, node, 0], table[key, node, 1]
+        p = (n1 + lm.HOLD * p0) / (n0 + n1 + lm.HOLD)
+        return math.log(p / (1 - p))
+
+    for i, t in texts.items():
+        w = {g: list(lm.START) for g in range(lm.GATES)}
+        bits, upto, gain, seen = math.log2(lm.CLASSES + 1), lm.FIRST, collections.defaultdict(lambda: [0.0] * 3), collections.Counter()
+        rest = 0.0
+        for word, s, at, r_, k, path in steps(t):
+            if at == upto:
+                for g, x in gain.items():
+                    w[g] = [a + lm.RATE * b / (seen[g] + lm.PAST) for a, b in zip(w[g], x, strict=True)]
+                upto, gain, seen = upto * 2, collections.defaultdict(lambda: [0.0] * 3), collections.Counter()
+            for depth, (node, bit) in enumerate(path):
+                g = min(depth, lm.GATES - 1)
+                plain = math.log(code.p0[node] / (1 - code.p0[node]))
+                x = [plain, odds(by_class, k, node), odds(by_word, r_, node) if node < code.width else plain]
+                y = sum(a * b for a, b in zip(w[g], x, strict=True))
+                bits += math.log2(1 + math.exp(-y if bit else y))
+                miss = bit - 1 / (1 + math.exp(-y))
+                gain[g] = [a + miss * b for a, b in zip(gain[g], x, strict=True)]
+                seen[g] += 1
+            if s == code.escape:
+                rest += math.log10(known_share / len(beyond)) if word in count else math.log10(1 - known_share)
+        assert got[i].score == pytest.approx(rest - bits * math.log10(2), rel=2e-3), i
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    from strandframe.llm.queries import op9_context_mixing
+
+    got = op9_context_mixing(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.8 * got[1]
+
+
+def test_speller_probabilities_add_up():
+    spell = lm.Speller([b"abc", b"abd"], 10)
+    rng = np.random.default_rng(0)
+    tables = [rng.integers(0, 50, (1 << spell.log, 2)).astype(np.uint16) for _ in range(lm.SPELL_CONTEXTS)]
+    first = [bytes([a]) for a in range(256) if a != 32]
+    ends = spell.costs([(3, b"q" + w) for w in first] + [(3, b"q")], tables)
+    longer = spell.costs([(3, b"q" + w + b"z") for w in first], tables)
+    assert len(ends) == 256 and (longer > 0).all() and (2.0**-ends).sum() <= 1.0
+    assert lm.Speller([], 0).costs([(0, b"")], [np.zeros((1 << 16, 2), np.uint16)] * 5)[0] > 0
+
+
+def test_lm_counts_of_rare_words_come_by_a_join(spark, monkeypatch):
+    rows = [(i, " ".join(f"r{i * 7 + k} r{k} end" for k in range(9))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") % 5 != 0
+    whole = {x.doc_id: x for x in lm.score_texts(df, train).collect()}
+    monkeypatch.setattr(lm, "LEAST_SHARE", 0.05)
+    wide = {x.doc_id: x for x in lm.score_texts(df, train).collect()}
+    monkeypatch.setattr(lm, "NEAR_WORDS", 5)
+    few = {x.doc_id: x for x in lm.score_texts(df, train).collect()}
+    for i, _ in rows:
+        assert few[i].n_known == wide[i].n_known == whole[i].n_known
+        assert few[i].base_score == pytest.approx(whole[i].base_score, rel=1e-9) and few[i].score == pytest.approx(wide[i].score, rel=1e-6)
+
+
 def test_code_is_complete():
     lengths = lm.code_lengths([5, 1, 1, 9, 3, 3])
     assert sum(2.0**-n for n in lengths) == 1.0
