@@ -43,10 +43,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYT
 
 
 def lean(work: Callable) -> Callable:
-    """`work` on batches; at its end the worker gives its free memory back, as workers outlive their tasks."""
+    """`work` on batches without cycle collection; at its end the worker gives its free memory back, as workers outlive their tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
+        gc.disable()
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:

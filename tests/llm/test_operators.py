@@ -319,12 +319,12 @@ def test_lm_equals_brute_force(spark):
     total = sum(count.values())
     tree = sorted(((w, n) for w, n in count.items() if n > 1), key=lambda x: (-x[1], x[0]))
     beyond = [w for w, n in count.items() if n == 1]
-    code = lm.Coder(tree, len(beyond), total)
+    code = lm.Coder(tree, [], len(beyond), total)
     known_share = len(beyond) / (2 * len(beyond))
     by_class, by_word = collections.Counter(), collections.Counter()
 
     def steps(text):
-        flat, _, sym, place, row, _, kind = code.units([text])
+        flat, _, _, sym, place, row, _, kind = code.units([text])
         for w, s, at, r_ in zip(flat, sym.tolist(), place.tolist(), row.tolist(), strict=True):
             path = code.path[code.starts[s] : code.starts[s] + code.lengths[s]].tolist()
             yield w, s, at, r_, int(kind[0]), [(x >> 1, x & 1) for x in path]
@@ -380,7 +380,7 @@ def test_speller_probabilities_add_up():
     ends = spell.costs([(3, b"q" + w) for w in first] + [(3, b"q")], tables)
     longer = spell.costs([(3, b"q" + w + b"z") for w in first], tables)
     assert len(ends) == 256 and (longer > 0).all() and (2.0**-ends).sum() <= 1.0
-    assert lm.Speller([], 0).costs([(0, b"")], [np.zeros((1 << 16, 2), np.uint16)] * 5)[0] > 0
+    assert lm.Speller([], 0).costs([(0, b"")], [np.zeros((1 << 16, 2), np.uint16)] * lm.SPELL_CONTEXTS)[0] > 0
 
 
 def test_lm_counts_of_rare_words_come_by_a_join(spark, monkeypatch):
