@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import small_batches, utf8, windows
+from strandframe.llm.text import lean, picked, small_batches, utf8, windows
 from strandframe.operators.state import table
 
 WINDOW = 8
@@ -27,7 +27,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz t ml l s sec min h hr hr
 _NUMBER = re.compile(r"[-+$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _WITH_UNIT = re.compile(r"([-+]?[0-9][0-9.,]*)([a-zA-Z%]+)")
 _EDGES = ".,;:!?\"'()[]{}<>*#&$%|~`“”«»¿¡"
-_KEPT = 300_000
+_KEPT = 150_000
 
 LITERAL, NUMBER, UNIT, NAME = range(4)
 
@@ -41,7 +41,7 @@ class Canon(dict):
     def reset(self) -> None:
         self.clear()
         n = 1 << 16
-        self.first, self.inside = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.first, self.inside, self.word = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         self.kind, self.ends, self.full = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool)
         self.low: list[str] = []
 
@@ -57,10 +57,10 @@ class Canon(dict):
             inside = kind = NAME
         k = len(self.low)
         if k == len(self.first):
-            for name in ("first", "inside", "kind", "ends", "full"):
+            for name in ("first", "inside", "word", "kind", "ends", "full"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.first[k], self.inside[k], self.kind[k], self.full[k] = first, inside, kind, low != ""
+        self.first[k], self.inside[k], self.word[k], self.kind[k], self.full[k] = first, inside, literal, kind, low != ""
         self.ends[k] = not bare or raw[-1] in ".!?:\"”" or raw.endswith("|")
         self.low.append(low)
         self[raw] = k
@@ -80,33 +80,51 @@ def template(text: str, canon: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.where(starts, canon.first[at], canon.inside[at]), kinds, at
 
 
-def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None, widths: tuple[int, ...] = ()) -> list[tuple[int, int, list[str], int]]:
+#: Which windows a text gives: of templates, of the words as they stand, or both.
+TEMPLATES, WORDS, BOTH = range(3)
+
+
+def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None, widths: tuple[int, ...] = (), mode: int = TEMPLATES) -> list[tuple[int, int, list[str], int]]:
     """(hash, place, slot values, width) of the windows with enough literal words; only wanted hashes.
 
-    Windows are WINDOW words or a whole shorter text, and of each of `widths` below that.
+    Windows are WINDOW words or a whole shorter text, and of each of `widths` below that. Windows
+    of the words as they stand have no slots and need no literal words.
     """
     hashes, kinds, at = template(text, canon)
     n = len(hashes)
     if n == 0:
         return []
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
     out = []
+    if mode != TEMPLATES:
+        for k in sorted({min(WINDOW, n), *(w for w in widths if w < min(WINDOW, n))}):
+            found = (windows(canon.word[at], k) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+            keep = np.nonzero(_among(found, wanted))[0] if wanted is not None else range(len(found))
+            out += [(int(found[i]), int(i), [], k) for i in keep]
+    if mode == WORDS:
+        return out
+    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
     for k in sorted({min(WINDOW, n), *(w for w in widths if w < min(WINDOW, n))}):
         found = windows(hashes, k).view(np.int64)
         ok = literal[k:] - literal[: n - k + 1] >= min(LITERALS, k)
         if wanted is not None:
-            ok &= wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else False
+            ok &= _among(found, wanted)
         out += [(int(found[i]), int(i), [f"{kinds[j]}={canon.low[at[j]]}" for j in range(i, i + k) if kinds[j] != LITERAL], k) for i in np.nonzero(ok)[0]]
     return out
 
 
+def _among(found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(found), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found
+
+
 _KINDS = "id long, window long, place int, slots array<string>, width int"
 
 
-def _rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, widths: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, widths: tuple[int, ...] = (), mode: int = TEMPLATES) -> Iterator[pa.RecordBatch]:
     canon = Canon()
     for batch in batches:
-        out = [(i, *w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in template_windows(text.decode(), canon, wanted, widths)]
+        out = [(i, *w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in template_windows(text.decode(), canon, wanted, widths, mode)]
         for k in range(0, len(out), 50_000):
             cols = zip(*out[k : k + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()), strict=True)], ["id", "window", "place", "slots", "width"])
@@ -120,7 +138,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     template words, or of a whole shorter item's length, join on their hash. A pair counts if the document
     holds half of the item's distinct windows and the slots agree: each of the item's values
     answers to one value of the document, as in a copy or in a question put with other numbers
-    and names. Both are asked of the whole document and of each occurrence in it: hits of one
+    and names; and the other way, where one clash is let pass, as two numbers may become the same.
+    Items that have too few literal words in every window are sought as they stand, without
+    placeholders. Both are asked of the whole document and of each occurrence in it: hits of one
     alignment (document place minus item place), and hits whose alignments differ by less than
     half the item's length, as words put in or left out shift them. The pair counts if any
     passes; its figures are those of the passing one with the greatest coverage. Texts without words and null ids give nothing; repeated rows count once.
@@ -129,7 +149,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     small_batches(spark, 500)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
-    asked = items.mapInArrow(lambda b: _rows(b, None), _KINDS).groupBy("id", "window", "slots", "width").agg(F.min("place").alias("place")).withColumnsRenamed({"id": "item", "slots": "item_slots", "place": "item_place"}).cache()
+    once = lambda d: table(d.groupBy("id", "window", "slots", "width").agg(F.min("place").alias("place")).withColumnsRenamed({"id": "item", "slots": "item_slots", "place": "item_place"}), "asked")
+    asked = once(items.mapInArrow(lean(lambda b: _rows(b, None)), _KINDS))
+    bare = items.join(asked.select(F.col("item").alias("id")).distinct(), "id", "left_anti")
+    plain = once(bare.mapInArrow(lean(lambda b: _rows(b, None, (), WORDS)), _KINDS))
+    mode = TEMPLATES if plain.isEmpty() else BOTH
+    asked = asked.unionByName(plain)
     widths = tuple(r[0] for r in asked.select("width").distinct().collect() if r[0] < WINDOW)
     few = asked.count() <= BROADCAST_WINDOWS
     wanted = None
@@ -137,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         wanted = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in asked.select("window").distinct().collect()), dtype=np.int64))
     sizes = asked.groupBy("item").agg(F.count_distinct("window").alias("n_windows"), (F.max("item_place") + F.max("width")).alias("n_words"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
-    seen = source.mapInArrow(lambda b: _rows(b, wanted.value if wanted else None, widths), _KINDS).drop("width")
+    seen = source.mapInArrow(lean(lambda b: _rows(b, wanted.value if wanted else None, widths, mode)), _KINDS).drop("width")
     hits = table(seen.join(F.broadcast(asked.drop("width")) if few else asked.drop("width"), "window"), "hits")
     lengths = F.broadcast(sizes) if few else sizes
     whole = hits.groupBy("id", "item").agg(F.count_distinct("window").alias("matched")).join(lengths, "item")
@@ -150,13 +175,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     per = per.withColumn("coverage", F.col("matched") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE)
     pairs = F.when(F.size("slots") == F.size("item_slots"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     slots = spots.select("id", "item", "spot", F.explode(pairs).alias("p")).select("id", "item", "spot", "p.a", "p.b").distinct()
-    agreed = slots.groupBy("id", "item", "spot").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("values"))
+    agreed = slots.groupBy("id", "item", "spot").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("values"), F.count_distinct("b").alias("answers"))
     per = per.join(agreed, ["id", "item", "spot"], "left").withColumn("consistency", F.coalesce(F.col("values") / F.col("pairs"), F.lit(1.0)))
-    best = per.where(F.col("consistency") >= CONSISTENCY).groupBy("id", "item").agg(F.max(F.struct("coverage", "consistency", F.coalesce("values", F.lit(0)).alias("n_slots"))).alias("best"))
+    back = F.col("answers").isNull() | (F.col("answers") / F.col("pairs") >= CONSISTENCY) | (F.col("pairs") - F.col("answers") <= 1)
+    best = per.where((F.col("consistency") >= CONSISTENCY) & back).groupBy("id", "item").agg(F.max(F.struct("coverage", "consistency", F.coalesce("values", F.lit(0)).alias("n_slots"))).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.coverage", "best.consistency", "best.n_slots")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; rows without an id stay."""
-    bad = find_leaks(docs, benchmark, id_col, text_col, item_col).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """The rows of `docs` that hold no benchmark item; of rows with one id one that leaks takes all, and rows without an id stay."""
+    bad = table(find_leaks(docs, benchmark, id_col, text_col, item_col).select(id_col).distinct(), "leaks")
+    return picked(docs, bad, id_col, "left_anti")

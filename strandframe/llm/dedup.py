@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import Hashes, small_batches, sorted_groups, utf8, windows, word_hashes
+from strandframe.llm.text import Hashes, lean, picked, small_batches, sorted_groups, utf8, windows, word_hashes
 from strandframe.operators.components import connected_components
-from strandframe.operators.state import cut, table
+from strandframe.operators.state import cut, drop, table
 
 WIDTH = 5
 MINIMA = 120
@@ -152,13 +152,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id stands on more than one row."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    return not ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame, id_col: str, number: str) -> DataFrame:
+    """A table of the rows with numbers that rise with their ids."""
+    return table(docs.orderBy(id_col).withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of `docs`.
 
     A-Z are lower-cased; a document's set has its distinct 5-word shingles, or its whole word
     sequence if shorter. Two documents are linked if 100 * intersection >= `percent` * union; null,
     empty and blank texts have no set and no link. component_id is the least id reachable and
-    kept marks that document. Rows of equal id are one node and each comes back; a null id comes
+    kept marks that document. Rows of equal id are judged each by its own text; a null id comes
     back alone, linked with nothing. Columns beside the two named are not read.
 
     1. One pass sketches every text: the set's size and digest, and band keys over 120 minima
@@ -171,22 +182,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        across components, and each block returns a forest of confirmed links: a link that the
        stars of step 3 could not show is found here, whatever the bucket's size.
     """
-    small_batches(docs.sparkSession, 500)
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    base = table(source.mapInArrow(lambda b: _sketch(b, percent), "id long, n_shingles long, same binary, bands array<long>"), "sketch")
+    if _repeats(source, "id"):
+        rows = _numbered(source, "id", "row")
+        found = _components(rows.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("id"), "text"), percent).withColumnRenamed("id", "row")
+        ids = rows.select("row", "id")
+        named = ids.select(F.col("row").alias("component"), F.col("id").alias("component_id"))
+        out = found.join(ids, "row", "left").join(named, "component", "left")
+    else:
+        out = _components(source, percent).withColumnRenamed("component", "component_id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def _components(source: DataFrame, percent: int) -> DataFrame:
+    """id, n_shingles, component of (id, text) rows whose ids are null or unique."""
+    small_batches(source.sparkSession, 500)
+    base = table(source.mapInArrow(lean(lambda b: _sketch(b, percent)), "id long, n_shingles long, same binary, bands array<long>"), "sketch")
     reps = table(base.where("id is not null and n_shingles > 0").groupBy("same").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "sets")
     spread = reps.select("rep", F.explode("bands").alias("band"))
     shared = cut(spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("star")).where("members > 1"))
     members = table(spread.join(shared, "band"), "buckets")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = source.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    texts = table(texts.mapInArrow(_signed, "id long, text binary, sig binary"), "candidates")
+    wanted = table(members.select(F.col("rep").alias("id")).distinct(), "wanted")
+    texts = table(picked(source, wanted, "id", "left_semi").mapInArrow(lean(_signed), "id long, text binary, sig binary"), "candidates")
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("sig").alias("sa"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("sig").alias("sb"))
     stars = members.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = stars.join(right, "b").join(left, "a").select("a", "b", "ta", "tb", "sa", "sb")
-    links = cut(pairs.sortWithinPartitions("a").mapInArrow(lambda b: _verify(b, percent), "u long, v long"))
+    links = cut(pairs.sortWithinPartitions("a").mapInArrow(lean(lambda b: _verify(b, percent)), "u long, v long"))
     first = cut(connected_components(links))
 
     known = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -206,19 +229,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = F.col("members") <= BLOCK
     spot = spot.select(F.col("rep").alias("id"), "comp", F.explode(F.when(few, single).when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_other))).alias("block"))
     blocks = spot.join(texts, "id").repartition("block").sortWithinPartitions("block", "id")
-    more = cut(blocks.select("block", "id", "comp", "text", "sig").mapInArrow(lambda b: _blocks(b, percent), "u long, v long"))
+    more = cut(blocks.select("block", "id", "comp", "text", "sig").mapInArrow(lean(lambda b: _blocks(b, percent)), "u long, v long"))
 
     if more.isEmpty():
         final = first
     else:
         final = cut(connected_components(links.unionByName(more)))
     named = table(reps.select("same", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component")), "classes")
+    drop(reps, members, wanted, texts)
     out = base.select("id", "n_shingles", "same").join(named, "same", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select("id", "n_shingles", component.alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` without those that near-copy a smaller id; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each group of near copies, the one with the least id, and all that have no near copy.
+
+    Where ids repeat, rows are told apart by a number that rises with the id: a row goes only if
+    its own text near-copies that of a row before, and of equal rows one stays. Rows without an
+    id stay.
+    """
+    key, rows = id_col, docs
+    if _repeats(docs, id_col):
+        key = "__strandframe_row"
+        rows = _numbered(docs, id_col, key)
+    number = F.when(F.col(id_col).isNotNull(), F.col(key)).cast("long")
+    found = _components(rows.select(number.alias("id"), utf8(text_col).alias("text")), percent)
+    gone = table(found.where("id <> component").select(F.col("id").alias(key)), "gone")
+    return picked(rows, gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -14,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import small_batches, utf8
+from strandframe.llm.text import lean, small_batches, utf8
 from strandframe.operators.state import salted_rank, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words and word parts that a worker keeps encoded; bounds its memory.
-KEPT_WORDS, KEPT_PARTS = 700_000, 500_000
+#: Words and word parts that a task keeps encoded; bounds its memory.
+KEPT_WORDS, KEPT_PARTS = 250_000, 150_000
 
 
 def default_tokenizer() -> str:
@@ -34,7 +35,8 @@ class WordIds(dict):
 
     White space always parts tokens, so a text's ids are its pieces' ids in turn. Pieces of
     printable Latin-1 are split as the tokenizer's own pattern splits them and each part goes to
-    the merge model once; any other piece goes through the whole tokenizer.
+    the merge model once; any other piece goes through the whole tokenizer. With a tokenizer file
+    of another split, whole texts go through it, as white space may be part of its tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,6 +44,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.known = _split_is_known(path)
         self.parts: dict[str, bytes] = {}
         self.plain = re.compile("[!-~¡-ÿ]+")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -70,8 +73,28 @@ class WordIds(dict):
         return got
 
     def encode(self, text: bytes) -> bytes:
+        if not self.known:
+            ids = self.whole.encode(text.decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, text.split()))
 
+    def forget(self) -> None:
+        """Let go of all that was kept; the tokenizer stays."""
+        self.clear()
+        self.parts.clear()
+
+
+#: The split that WordIds makes itself, as tokenizer files write it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _split_is_known(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    splits = [x for x in (parts.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    lower = [x["type"] for x in (parts.get("normalizer") or {}).get("normalizers", [])]
+    return [x["pattern"].get("Regex") for x in splits] == [SPLIT] and "Lowercase" in lower
+
 
 _encoders: dict[str, WordIds] = {}
 
@@ -98,9 +121,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_
                     rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        ids.forget()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col))
-    return source.mapInArrow(cut_up, "id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(lean(cut_up), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:

@@ -38,6 +38,8 @@ BROADCAST_CHARS = 8_000_000
 DOUBT = 0.5
 
 
+#: Spans of a text that are replaced at once; keeps the work near linear in the text.
+MASKED = 64
 #: Matches whose running lengths are added up at once; keeps the work linear in their number.
 CHUNK = 256
 
@@ -217,27 +219,41 @@ def mask(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_cha
     """`docs` with every span of its texts replaced by its kind in brackets.
 
     Spans that overlap become one, named for the first. A null text stays null. `count_col`, if
-    it is a column, gets the new text's length. Columns keep their order.
+    it is a column, gets the new text's length. All other columns, whatever their names, and the
+    columns' order stay as they are. Texts are put together MASKED spans at a time.
     """
     names = docs.columns
-    df = _with_context(docs.withColumn("__text", F.col(text_col)), "__text") if text_col == "text" else _with_context(docs, text_col)
+    inner = [f"__column_{i}" for i in range(len(names))]  # no name of a column can clash with those of the spans
+    original = inner[names.index(text_col)]
+    df = _with_context(docs.toDF(*inner), original)
 
     def tagged(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     df = df.withColumn("__spans", F.array_sort(F.concat(*map(tagged, KINDS))))
+    lots = F.sequence(F.lit(0), F.greatest(F.floor((F.size("__spans") - 1) / MASKED), F.lit(0)).cast("int"))
+    df = df.withColumn("__lots", F.when(F.size("__spans") > 0, F.transform(lots, lambda k: F.slice("__spans", k * MASKED + 1, F.lit(MASKED)))))
     t = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t))))
-    original = "__text" if text_col == "text" else text_col
-    new = F.when(F.col(original).isNull() | (F.size("__spans") == 0), F.col(original)).otherwise(masked)
-    df = df.withColumn("__new", new)
-    keep = [F.col("__new").alias(c) if c == text_col else F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == count_col else F.col(c) for c in names]
-    return df.select(*keep)
+
+    def put(lot: Column, begin: Column, part: Column) -> Column:
+        """The part of the text from `begin` with the lot's spans replaced."""
+
+        def step(acc: Column, s: Column) -> Column:
+            fresh = s["start"] >= acc["at"]
+            piece = F.concat(F.substr(part, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(lot, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def on(acc: Column, lot: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(lot, lambda s: s["end"])))
+        part = F.substr(t, acc["at"] + 1, end - acc["at"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(put(lot, acc["at"], part))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    masked = F.aggregate("__lots", start, on, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(t, acc["at"] + 1, F.length(t))))
+    df = df.withColumn("__new", F.when(F.col(original).isNull() | (F.size("__spans") == 0), F.col(original)).otherwise(masked))
+    length = F.length("__new")
+    out = [F.col("__new") if c == original else F.when(F.size("__spans") > 0, length.cast(docs.schema.fields[i].dataType)).otherwise(F.col(c)) if names[i] == count_col else F.col(c) for i, c in enumerate(inner)]
+    return df.select(*(c.alias(f"__out_{i}") for i, c in enumerate(out))).toDF(*names)
 

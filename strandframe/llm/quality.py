@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import small_batches, utf8
+from strandframe.llm.text import lean, small_batches, utf8
 
 LEVEL = 3
 #: (texts of fewer bytes than this, least ratio, greatest ratio) of bytes to compressed bytes.
@@ -85,4 +85,4 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     small_batches(docs.sparkSession, 500)
     kinds = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks long, n_chunks long, reason string"
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col)).mapInArrow(_rules, kinds).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col)).mapInArrow(lean(_rules), kinds).withColumnRenamed("id", id_col)

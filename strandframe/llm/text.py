@@ -119,5 +119,14 @@ def sorted_groups(batches: Iterator, key: str) -> Iterator[list[dict]]:
         yield held
 
 
+#: Ids that are broadcast to leave their rows out; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def picked(rows: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """The rows whose id is (left_semi) or is not (left_anti) among `ids`, a written table; few ids are broadcast, so that rows are not shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

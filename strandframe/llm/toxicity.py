@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import CACHE_WORDS, small_batches
-from strandframe.operators.state import table
+from strandframe.llm.text import CACHE_WORDS, lean, picked, small_batches
+from strandframe.operators.state import drop, table
 
-#: Bounds of the classifier's fit, and of nothing else: labelled examples of each class in the
-#: index, terms tried for it, and terms kept. Every row is scored; document frequencies and the
-#: terms' class counts are taken over all rows and all labelled rows.
-MAX_EXAMPLES, MAX_TRIED, MAX_TERMS = 2000, 200_000, 2048
+#: Bounds of the classifier's fit, and of nothing else: labelled training rows of each class, drawn
+#: by a hash of the id, that choose the terms, and that stand in the index. A class with fewer rows
+#: gives all. Every row is scored; document frequencies are taken over all rows.
+TERM_ROWS, EXAMPLES = 20_000, 2000
 #: A term must stand in so many toxic examples, its class counts differ by so much (G squared), and
 #: its share of toxic examples be so many times its share of others.
 LEAST_SUPPORT, LEAST_G2, LEAST_LIFT = 4, 30.0, 4.0
@@ -88,7 +88,7 @@ def distinct_terms(ordered: list[str], pos: dict[str, int], neg: dict[str, int])
 
 
 class BlockMaxIndex:
-    """Examples in blocks of 64; a block's greatest weight of each term bounds its cosines.
+    """Examples in blocks of BLOCK; a block's greatest weight of each term bounds its cosines.
 
     `search` opens blocks from the largest bound down and stops where no closed block can reach
     the k-th best cosine: the cosines equal those of comparing with every example.
@@ -145,6 +145,7 @@ class Model:
         self.y = np.array([e[1] for e in made], dtype=np.int64)
         self.w = np.array([weight[e[1]] for e in made])
         self.index = BlockMaxIndex([(e[2], e[3]) for e in made], len(idf))
+        self.number = {e[0]: n for n, e in enumerate(made)}
         self.beta = np.array([-2.0, 4.0, 0.0])
         if len(made) and 0 < self.y.sum() < len(made):
             x = np.array([self.votes(*self.index.search(e[2], e[3], NEIGHBOURS, skip=n))[:2] for n, e in enumerate(made)])
@@ -176,10 +177,11 @@ class Model:
                 break
         return beta
 
-    def score(self, terms: list[int], tfs: list[int]) -> tuple[float, list[int], list[float]]:
+    def score(self, terms: list[int], tfs: list[int], own: int = -1) -> tuple[float, list[int], list[float]]:
+        """Probability of label 1, the nearest examples' ids and cosines; example `own` is the text itself and has no vote."""
         if not terms:
             return self.prior, [], []
-        found, cosine = self.index.search(*self.vector(terms, tfs), NEIGHBOURS)
+        found, cosine = self.index.search(*self.vector(terms, tfs), NEIGHBOURS, skip=own)
         votes = self.votes(found, cosine)
         p = 1 / (1 + np.exp(-np.clip(self.beta @ np.array([1.0, *votes]), -30, 30)))
         return float(p), self.ids[found].tolist(), cosine.tolist()
@@ -190,15 +192,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _drawn(rows: DataFrame, id_col: str, n: dict[int, int], most: int, salt: int) -> DataFrame:
+    """About `most` rows of each class, or all of a class with no more, by a hash of the id."""
+    parts = 1 << 30
+    cut = F.lit(0)
+    for y, k in n.items():
+        cut = F.when(F.col("y") == y, F.lit(parts if k <= most else int(parts * (most / k)))).otherwise(cut)
+    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(parts)) < cut)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, score, predicted, evidence_ids, evidence_cosines for every row of `docs`.
 
-    A text's terms are its words and their first 4 to 7 letters. Terms whose counts over all
-    labelled training rows part the classes (G squared) make the vocabulary; weights are
-    (1 + ln tf) * ln(1 + documents / df) with df over all rows. An index of at most MAX_EXAMPLES
-    examples a class answers each text with its exact nearest examples; their votes, weighted by
-    closeness and by the classes' true shares, pass a logistic calibration fitted on the
-    examples' own left-out votes. score is the probability of label 1; predicted is score >= 0.5.
+    A text's terms are its words and their first 4 to 7 letters. Terms whose counts over the
+    labelled training rows (about TERM_ROWS a class) part the classes by G squared make the
+    vocabulary, however many they are; weights are (1 + ln tf) * ln(1 + documents / df) with df
+    over all rows. An index of about EXAMPLES examples a class answers each text with its exact
+    nearest examples; their votes, weighted by closeness and by the classes' true shares, pass a
+    logistic calibration fitted on the examples' own left-out votes. A row that is itself an
+    example has no vote on itself. score is the probability of label 1; predicted is score >= 0.5.
 
     Null, empty and term-free texts score the share of label 1 among term-free training rows.
     Rows of `labels` with a null label or id are left out; of an id labelled twice the greater
@@ -212,16 +224,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"), (train if train is not None else F.lit(True)).alias("use"))
     marks = marks.where("use and y is not null and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     marks = table(marks, "labels")
-    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
-    labelled = source.join(marks, "id")
+    shares = {r[0]: r[1] for r in marks.groupBy("y").agg(F.count(F.lit(1))).collect()}
+    few = F.broadcast(table(_drawn(marks, "id", shares, TERM_ROWS, 1), "fit"))  # about 2 * TERM_ROWS rows at most
+    labelled = table(source.join(few, "id"), "labelled")
     shares = {r[0]: r[1] for r in labelled.groupBy("y").agg(F.count(F.lit(1))).collect()}
     n_pos, n_neg = shares.get(1, 0), shares.get(0, 0)
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _count(batches, _all_terms)
 
-    pos = labelled.where("y = 1").select("text").mapInArrow(tried, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    pos = {r[0]: r[1] for r in pos.where(F.col("n") >= LEAST_SUPPORT).orderBy(F.desc("n"), "term").limit(MAX_TRIED).collect()}
+    pos = labelled.where("y = 1").select("text").mapInArrow(lean(tried), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    pos = {r[0]: r[1] for r in pos.where(F.col("n") >= LEAST_SUPPORT).collect()}
     names = spark.sparkContext.broadcast({t: i for i, t in enumerate(pos)})
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +247,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
     ordered = list(pos)
-    neg = {ordered[r[0]]: r[1] for r in labelled.where("y = 0").select("text").mapInArrow(known, "term long, n long").groupBy("term").agg(F.sum("n")).collect()} if pos and n_neg else {}
+    neg = {ordered[r[0]]: r[1] for r in labelled.where("y = 0").select("text").mapInArrow(lean(known), "term long, n long").groupBy("term").agg(F.sum("n")).collect()} if pos and n_neg else {}
     gains = {t: g_squared(n, neg.get(t, 0), n_pos, n_neg) for t, n in pos.items() if n * n_neg > LEAST_LIFT * neg.get(t, 0) * n_pos} if n_neg else {}
-    chosen = distinct_terms(sorted((t for t, g in gains.items() if g >= LEAST_G2), key=lambda t: (-gains[t], t)), pos, neg)[:MAX_TERMS]
+    chosen = distinct_terms(sorted((t for t, g in gains.items() if g >= LEAST_G2), key=lambda t: (-gains[t], t)), pos, neg)
     vocabulary = spark.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
             cols = [pa.array([[x[k] for x in v] for v in made], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "terms", "tfs"])
 
-    rows = table(source.mapInArrow(vectors, "id long, terms array<int>, tfs array<int>"), "vectors")
+    rows = table(source.mapInArrow(lean(vectors), "id long, terms array<int>, tfs array<int>"), "vectors")
     n_docs = rows.count()
     idf = np.full(len(chosen), np.log(1.0 + max(n_docs, 1)))
     for t, df in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1))).collect():
@@ -253,33 +267,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
     examples = rows.join(marks, "id")
     bare = {r[0]: r[1] for r in examples.where("size(terms) = 0").groupBy("y").agg(F.count(F.lit(1))).collect()}
     prior = bare.get(1, 0) / sum(bare.values()) if bare else n_pos / max(1, n_pos + n_neg)
-    picked, weight = [], [1.0, 1.0]
+    weight = [1.0, 1.0]
     full = examples.where("size(terms) > 0")
-    for y in (0, 1):
-        own = full.where(F.col("y") == y)
-        got = own.orderBy(F.xxhash64("terms", "tfs"), "id").limit(MAX_EXAMPLES).collect()
-        picked += [(r["id"], list(r["terms"]), list(r["tfs"]), y) for r in got]
-        weight[y] = own.count() / len(got) if len(got) == MAX_EXAMPLES else 1.0
-    model = spark.sparkContext.broadcast(Model(picked, idf, (weight[0], weight[1]), prior))
+    sizes = {r[0]: r[1] for r in full.groupBy("y").agg(F.count(F.lit(1))).collect()}
+    drawn = _drawn(full, "id", sizes, EXAMPLES, 2).select("id", "terms", "tfs", "y").collect()
+    examples = [(r["id"], list(r["terms"]), list(r["tfs"]), r["y"]) for r in drawn]
+    for y, n in sizes.items():
+        weight[y] = n / max(1, sum(e[3] == y for e in examples))
+    model = spark.sparkContext.broadcast(Model(examples, idf, (weight[0], weight[1]), prior))
+    drop(labelled)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = model.value, {}
         for batch in batches:
             out = []
-            for terms, tfs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(terms), tuple(tfs))
+            for i, terms, tfs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (m.number.get(i, -1), tuple(terms), tuple(tfs))
                 if key not in seen:
-                    if len(seen) > 100_000:
+                    if len(seen) > 50_000:
                         seen.clear()
-                    seen[key] = m.score(terms, tfs)
+                    seen[key] = m.score(terms, tfs, key[0])
                 out.append(seen[key])
             p = np.array([x[0] for x in out], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["id", "score", "predicted", "evidence_ids", "evidence_cosines"])
 
-    return rows.mapInArrow(scored, "id long, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(scored), "id long, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of `docs` whose id no toxic score rejects; rows without an id stay."""
-    bad = score_toxicity(docs, labels, train, id_col, text_col, label_col).where("predicted = 1").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """The rows of `docs` whose id no toxic score rejects; of rows with one id one rejects all, and rows without an id stay."""
+    bad = table(score_toxicity(docs, labels, train, id_col, text_col, label_col).where("predicted = 1").select(id_col).distinct(), "toxic")
+    return picked(docs, bad, id_col, "left_anti")
