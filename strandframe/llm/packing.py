@@ -21,7 +21,7 @@ from strandframe.operators.state import salted_rank, table
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words and word parts that a task keeps encoded; bounds its memory.
-KEPT_WORDS, KEPT_PARTS = 250_000, 150_000
+KEPT_WORDS, KEPT_PARTS = 200_000, 120_000
 
 
 def default_tokenizer() -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Words kept in a worker's hash table before it starts anew; bounds its memory.
 CACHE_WORDS = 200_000
 #: Bytes of an Arrow batch, and of the texts worked on at once; a longer text comes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -284,7 +284,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
             for i, terms, tfs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = (m.number.get(i, -1), tuple(terms), tuple(tfs))
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > 10_000:
                         seen.clear()
                     seen[key] = m.score(terms, tfs, key[0])
                 out.append(seen[key])
