@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Three-letter and one-letter codes of the standard amino acids.
 AMINO_ACIDS = "ALA A ARG R ASN N ASP D CYS C GLN Q GLU E GLY G HIS H ILE I LEU L LYS K MET M PHE F PRO P SER S THR T TRP W TYR Y VAL V"
@@ -13,7 +14,7 @@ BACKBONE = ("N", "CA", "C", "O", "H", "OXT", "HA", "HA2", "HA3")
 COMPLETE_BACKBONE = ("N", "CA", "C", "O")
 AROMATIC = ("TRP", "TYR", "PHE", "HIS")
 #: Codes that are common additives, not ligands.
-IRRELEVANT_LIGANDS = ("HOH", "SO4", "PO4", "GOL", "EDO", "CL", "NA", "K", "ACT", "DMS", "PEG")
+IRRELEVANT_LIGANDS = ("HOH", "GOL", "CA", "NA", "MG", "SO4", "PO4", "MES", "CL", "K", "ZN")
 #: Experimental methods of a deposit.
 METHODS = (
     "X-RAY DIFFRACTION", "FIBER DIFFRACTION", "NEUTRON DIFFRACTION", "ELECTRON CRYSTALLOGRAPHY", "ELECTRON MICROSCOPY", "SOLID-STATE NMR", "SOLUTION NMR", "SOLUTION SCATTERING", "POWDER DIFFRACTION", "INFRARED SPECTROSCOPY", "EPR", "FLUORESCENCE TRANSFER", "THEORETICAL MODEL",
@@ -37,6 +38,25 @@ def residue_types(spark: SparkSession, extra: DataFrame | None = None) -> DataFr
     return table if extra is None else table.unionByName(extra.join(table, "code3", "left_anti").dropDuplicates(["code3"]))
 
 
+def is_peptide_linking(kind: Column) -> Column:
+    """Whether a component's type text is of a peptide, whatever its configuration."""
+    return F.upper(kind).contains("PEPTIDE")
+
+
+def is_l_peptide_linking(kind: Column) -> Column:
+    """Peptides of L configuration, or of none stated."""
+    return is_peptide_linking(kind) & ~F.upper(kind).startswith("D-")
+
+
+def is_d_peptide_linking(kind: Column) -> Column:
+    """Peptides of D configuration, or of none stated."""
+    return is_peptide_linking(kind) & ~F.upper(kind).startswith("L-")
+
+
+def is_nucleic_linking(kind: Column) -> Column:
+    return F.upper(kind).rlike("^(L-)?[DR]NA ")
+
+
 def monomer_kind(text: str) -> str:
     """Class of a chemical component's type text."""
     low = text.lower()

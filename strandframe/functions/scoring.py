@@ -65,9 +65,13 @@ def blosum62() -> Scores:
     return Scores(LETTERS, rows)
 
 
-def read_ncbi_matrix(path: str) -> Scores:
-    """A matrix file with # comments, a line of letters, then a letter and its scores on each line."""
-    lines = [x.split() for x in Path(path).read_text().splitlines() if x.strip() and not x.startswith("#")]
+def read_ncbi_matrix(path: str, spark=None) -> Scores:
+    """A matrix file with # comments, a line of letters, then a letter and its scores on each line.
+
+    With a session Spark reads the file, from any file system that it knows.
+    """
+    text = Path(path).read_text() if spark is None else "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]
     letters = lines[0]
     keep = [i for i, c in enumerate(letters) if c in LETTERS]
     values = {row[0]: list(map(int, row[1:])) for row in lines[1:]}

@@ -177,6 +177,21 @@ def contacts(atoms: DataFrame, cutoff: float) -> DataFrame:
     return within(own, own, ["x", "y", "z"], cutoff, tuple(KEY)).where("a_res_ord > b_res_ord")
 
 
+def distance_map(atoms: DataFrame, tile: int = 64) -> DataFrame:
+    """deposit_id, model, a_res_ord, b_res_ord, distance: least distance of the atoms of every pair of residues, the later one first.
+
+    Every pair is what is asked; residues meet in tiles of `tile` by `tile`, so no task holds a whole model.
+    """
+    own = runs(atoms, KEY, ["atom_ord"], RES, "res_ord").select(*KEY, "res_ord", "x", "y", "z").withColumn("t", F.floor(F.col("res_ord") / tile))
+    most = own.groupBy(*KEY).agg(F.max("t").alias("most"))
+    spread = own.join(most, KEY)
+    side = lambda p, k, to: spread.select(*KEY, *(F.col(c).alias(f"{p}_{c}") for c in ("res_ord", "x", "y", "z")), F.col("t").alias(k), F.explode(F.sequence(*to)).alias("tb" if k == "ta" else "ta"))
+    a, b = side("a", "ta", (F.lit(0).cast("bigint"), F.col("t"))), side("b", "tb", (F.col("t"), F.col("most")))
+    met = a.join(b, [*KEY, "ta", "tb"]).where("a_res_ord > b_res_ord")
+    d = F.sqrt(sum((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"))
+    return met.groupBy(*KEY, "a_res_ord", "b_res_ord").agg(F.min(d).alias("distance"))
+
+
 # --- hydrogen bonds -------------------------------------------------------------------------
 
 #: Greatest H...O and N...O distances, least angles N-H-O and C-O-H.

@@ -50,6 +50,18 @@ def rank_table(paths: DataFrame, nodes: DataFrame, ranks: list[str]) -> DataFram
     return named.groupBy("id").pivot("rank", [r.lower() for r in ranks]).agg(F.min_by("name", "up"))
 
 
+def names_of(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All names of the taxa in `wanted` (tax_id), sorted."""
+    got = names.join(wanted.select("tax_id").distinct(), "tax_id", "left_semi")
+    return got.groupBy("tax_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def taxids_of(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """name, tax_id of the names in `wanted`, matched exactly; the least id of a name that several taxa share."""
+    got = names.join(wanted.select("name").distinct(), "name", "left_semi")
+    return got.groupBy("name").agg(F.min("tax_id").alias("tax_id"))
+
+
 def rank_order(rank) -> object:
     """Place of a rank's name in the order of preference; unknown ranks come last."""
     out = F.lit(255)

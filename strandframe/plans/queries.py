@@ -362,3 +362,6 @@ def name_match(spark, t):
     part = t("part")
     names = part.select(F.col("p_name").alias("name")).union(part.select(F.split("p_name", " ")[0])).distinct().withColumns({"tax_id": F.xxhash64("name"), "rank_order": F.lit(1)})
     return taxonomy.match_names(part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("description")), names).select("ord", "name")
+
+
+from strandframe.plans import structure_queries  # noqa: E402, F401  registers its queries

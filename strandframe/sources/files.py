@@ -187,6 +187,21 @@ def cif_entities(values: DataFrame) -> DataFrame:
     return e.join(poly, ["path", "entity_id"], "left").join(seq, ["path", "entity_id"], "left")
 
 
+def entity_references(values: DataFrame) -> DataFrame:
+    """path, entity_id, db_name, db_code of each entity; null where the deposit names no reference."""
+    e = cif_table(values, "_entity", ["id"]).select("path", F.col("id").alias("entity_id"))
+    ref = cif_table(values, "_struct_ref", ["id", "db_name", "db_code"]).select("path", F.col("id").alias("entity_id"), "db_name", "db_code")
+    return e.join(ref, ["path", "entity_id"], "left")
+
+
+def chain_monomers(values: DataFrame) -> DataFrame:
+    """path, entity_id, chain_id, monomers: an entity's residues as they were observed in each chain; GAP where not."""
+    t = cif_table(values, "_pdbx_poly_seq_scheme", ["entity_id", "asym_id", "seq_id", "auth_mon_id", "pdb_strand_id"])
+    one = F.struct(F.col("seq_id").cast("int").alias("at"), F.coalesce("auth_mon_id", F.lit("GAP")).alias("code"))
+    got = t.groupBy("path", "entity_id", F.coalesce("pdb_strand_id", "asym_id").alias("chain_id"))
+    return got.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["code"]).alias("monomers"))
+
+
 def cif_ranges(values: DataFrame) -> DataFrame:
     """path, ord, kind, chain and first and last residue of helices, then strands."""
     h = cif_table(values, "_struct_conf", ["conf_type_id", "beg_auth_asym_id", "beg_auth_seq_id", "end_auth_seq_id"]).where("conf_type_id like 'HELX%'")
@@ -230,9 +245,30 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _parsed(_files(spark, path), "format string", parse)
 
 
+def _tar_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """`value`: the lines of a member of a tar archive, compressed or not; one task streams it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import tarfile
+        from itertools import islice
+
+        for batch in batches:
+            for data in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(bytes(data))) as tar:
+                    for m in tar:
+                        if m.name.rsplit("/", 1)[-1] == member:
+                            lines = io.TextIOWrapper(tar.extractfile(m), "utf-8", "replace", newline="\n")
+                            while part := [x.rstrip("\n") for x in islice(lines, 10_000)]:
+                                yield pd.DataFrame({"value": part})
+
+    return _files(spark, path).mapInPandas(run, "value string")
+
+
 def read_taxdump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, parent, rank, name; names: name, tax_id, name_class) from nodes.dmp and names.dmp in a folder."""
-    fields = lambda f: spark.read.text(f"{folder}/{f}").select(F.split(F.regexp_replace("value", r"\t\|\s*$", ""), r"\t\|\t").alias("f"))
+    """(nodes: id, parent, rank, name; names: name, tax_id, name_class) from nodes.dmp and names.dmp in a folder or a tar archive."""
+    packed = folder.endswith((".tar", ".tar.gz", ".tgz"))
+    fields = lambda f: (_tar_lines(spark, folder, f) if packed else spark.read.text(f"{folder}/{f}")).select(F.split(F.regexp_replace("value", r"\t\|\s*$", ""), r"\t\|\t").alias("f"))
     get = lambda i: F.get("f", F.lit(i))
     nodes = fields("nodes.dmp").select(get(0).cast("long").alias("id"), get(1).cast("long").alias("parent"), get(2).alias("rank"))
     names = fields("names.dmp").select(get(1).alias("name"), get(0).cast("long").alias("tax_id"), get(3).alias("name_class"))

@@ -38,6 +38,18 @@ def cif_text(values: DataFrame) -> DataFrame:
     return lines.groupBy("path", "block").agg(F.concat(F.lit("data_"), F.first("block"), F.lit("\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("value")).select("path", "value")
 
 
+def cif_loop_text(values: DataFrame) -> DataFrame:
+    """path, block, loop_idx, value: each loop as CIF text, columns sorted by name, a row on a line."""
+    quoted = F.when(F.col("value").rlike(r"\s") | (F.col("value") == ""), F.concat(F.lit("'"), "value", F.lit("'"))).otherwise(F.col("value"))
+    own = values.where("kind = 'loop'").withColumn("cell", quoted)
+    first = own.where("row_idx = 0").groupBy("path", "block_idx", "block", "loop_idx").agg(F.collect_list("name").alias("names"))
+    rows = own.groupBy("path", "block_idx", "loop_idx", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("name", "cell"))).alias("cells"))
+    lines = rows.join(first, ["path", "block_idx", "loop_idx"]).withColumn("names", F.array_sort("names"))
+    line = F.struct("row_idx", F.array_join(F.transform("names", lambda n: F.element_at("cells", n)), " ").alias("line"))
+    body = lines.groupBy("path", "block", "loop_idx").agg(F.first("names").alias("names"), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    return body.select("path", "block", "loop_idx", F.array_join(F.concat(F.array(F.lit("loop_")), "names", "lines"), "\n").alias("value"))
+
+
 def deposit_info(deposits: DataFrame) -> DataFrame:
     """path, info: a deposit's metadata as JSON."""
     return deposits.select("path", F.to_json(F.struct(*(c for c in deposits.columns if c != "path"))).alias("info"))
