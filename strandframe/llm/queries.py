@@ -67,4 +67,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+_RULES = ", ".join(f"('{kind}', '{host}', '{path}')" for kind, host, path in urls.RULES)
+_NODE = "translate(regexp_extract(regexp_extract({0}, '^.*?://([^?#]*)', 1), '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(regexp_extract({0}, '^.*?://([^?#]*)', 1), '^[^/]*(.*)$', 1)"
+_OWN = "(SELECT arg_max(struct_pack(t := host || path, k := kind), length(host || path)) FROM rules WHERE ({0} = host OR ends_with({0}, '.' || host)) AND starts_with({1}, path))"
+
+_SHINGLES = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s)"""
+
+#: SQL where it can say the same. Links with absolute or root-relative targets; the other queries are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op3_minhash": f"""WITH RECURSIVE {_SHINGLES},
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common, any_value(a.n) AS m, any_value(b.n) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM pairs WHERE 100 * common >= 85 * (m + n - common)), e2 AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM s UNION SELECT r.node, e2.v FROM reach r JOIN e2 ON r.other = e2.u),
+c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = node""",
+    "op10_url_filter": f"""WITH RECURSIVE rules(kind, host, path) AS (VALUES {_RULES}),
+p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS at_host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS at_path FROM p),
+j AS (SELECT page_id, at_host, at_path, {_OWN.format("at_host", "at_path")} AS own FROM h),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM h WHERE contains(url, '://')),
+targets AS (SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link.*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) WHEN regexp_matches(tag, '(?is)^<meta.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS target FROM tags),
+full_targets AS (SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || target END AS target FROM targets),
+links AS (SELECT DISTINCT {_NODE.format("url")} AS u, {_NODE.format("target")} AS v FROM full_targets WHERE target IS NOT NULL AND target <> ''),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.other = b.u),
+members AS (SELECT node, other, regexp_extract(other, '^([^/]*)', 1) AS m_host, regexp_extract(other, '^[^/]*(.*)$', 1) AS m_path FROM reach),
+shared AS (SELECT node, CASE WHEN bool_or(own.k = 'allow') THEN 'allow' WHEN bool_or(own.k = 'block') THEN 'block' END AS verdict FROM (SELECT node, {_OWN.format("m_host", "m_path")} AS own FROM members) GROUP BY 1)
+SELECT page_id, at_host AS host, at_path AS path, own.t AS rule, coalesce(own.k, verdict, 'allow') AS verdict FROM j LEFT JOIN shared ON node = at_host || at_path""",
+}

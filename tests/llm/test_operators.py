@@ -619,6 +619,25 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from strandframe.llm.queries import ORACLES
+
+    r = random.Random(16)
+    hosts = ["a.net", "b.net", "example.net", "x.example.com", "c.org", "d.com", "e.com", "f.io"]
+    address = lambda: f"{r.choice(['http', 'https'])}://{r.choice(hosts)}{r.choice(['', '/', '/en/', '/de/', '/fr/x'])}{r.choice(['', '?q=1', '#f'])}"
+    link = lambda: r.choice(["", "", '<LINK href="{}" rel="canonical">', "<link rel=canonical href={}>", '<meta http-equiv="refresh" content="0;url={}">', '<link rel="next" href="{}">']).format(r.choice([address(), address(), "/en/a", "//c.org/fr/"]))
+    rows = [(i, address(), f"<html>{link()}<p>x</p>{link()}\n</html>") for i in range(300)] + [(300, None, "x"), (301, "nowhere", ""), (302, "http://a.net", None), (302, "http://a.net", None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "host", "path", "rule", "verdict").collect()
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    want = con.execute(ORACLES["op10_url_filter"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {v for *_, v in want} == {"allow", "block"}
+
+
 def test_relative_targets(spark):
     cases = [("index2.html", "http://h.net/a/b/index2.html"), ("./x", "http://h.net/a/b/x"), ("../en/x?q", "http://h.net/a/en/x?q"), ("../../../x", "http://h.net/x"), ("..", "http://h.net/a/"), ("/r/../s", "http://h.net/s"), ("//o.net/p", "http://o.net/p"), ("https://o.net/p", "https://o.net/p"), ("?q=http://z", "http://h.net/a/b/c?q=http://z"), ("mailto:a@b.c", None), ("/", "http://h.net/"), ("/a/", "http://h.net/a/")]
     df = spark.createDataFrame([("http://h.net/a/b/c?x", t, w) for t, w in cases] + [("http://h.net", "x", "http://h.net/x")], "base string, to string, want string")
@@ -634,3 +653,24 @@ def test_queries_and_pipeline(spark):
 
     assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_runs_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    vocabulary = ["w%d" % i for i in range(500)]
+    item = "Tom had 12 apples and gave 5 of them to Mary before he walked 3 km to meet Anna at the old station"
+    texts = [" ".join(r.choices(vocabulary, k=60)) + (" awful nasty words" * 2 if i % 5 == 0 else "") for i in range(200)]
+    texts += [texts[1], texts[2] + " more", f"{texts[3]} {item}.", "write to a@b.co " + " ".join(r.choices(vocabulary, k=40)), None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {x.doc_id for x in got}
+    assert kept == {i for i in range(206) if i >= 200 or i % 5} - {200, 201, 202}
+    used = collections.defaultdict(list)
+    for g in got:
+        used[g.sequence_id].append((g.offset, g.length))
+    assert all(sum(n for _, n in parts) <= 2048 and min(parts)[0] == 0 for parts in used.values())
