@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from strandframe.functions import sequences as S
+from strandframe.operators.state import table
 
 #: A side is broadcast up to so many rows; beyond, Spark plans the join by its own statistics.
 BROADCAST_ROWS = 200_000
@@ -52,18 +58,50 @@ def retrieve(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 def find_subsequences(df: DataFrame, queries: DataFrame, seq: str = "seq", query: str = "query") -> DataFrame:
     """One row for each hit of a query in a sequence, with start (from 0), end and percent covered.
 
-    Hits of one query do not overlap. The query list is a parameter and must be bounded; it is
-    checked against BROADCAST_ROWS.
+    Hits of one query do not overlap. One automaton finds all queries in a pass over each
+    sequence; more than BROADCAST_ROWS queries are dealt into lots, with a pass for each.
     """
-    if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries")
-    met = df.join(F.broadcast(queries.where(F.length(query) > 0)), F.contains(F.col(seq), F.col(query)))
-    pieces = F.split(F.col(seq), F.concat(F.lit(r"\Q"), F.col(query), F.lit(r"\E")), -1)
-    met = met.withColumn("__lengths", F.transform(pieces, F.length)).withColumn("__n", F.size("__lengths") - 1)
-    hits = met.select("*", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("hit"))
-    start = F.aggregate(F.slice("__lengths", F.lit(1), F.col("hit")), F.lit(0), lambda a, x: a + x) + (F.col("hit") - 1) * F.length(query)
-    hits = hits.withColumn("start", start).withColumn("end", F.col("start") + F.length(query))
-    return hits.withColumn("percent", 100.0 * F.length(query) / F.length(seq)).drop("__lengths", "__n")
+    asked = table(queries.where(F.length(query) > 0).withColumn("__q", F.monotonically_increasing_id()), "queries")
+    lots = max(1, -(-asked.count() // BROADCAST_ROWS))
+    found = []
+    for k in range(lots):
+        own = asked.where(F.pmod(F.xxhash64("__q"), F.lit(lots)) == k)
+        words = [(r[1], r[0]) for r in own.select("__q", query).collect()]
+        found.append(_hits_of_lot(df, words, seq).join(F.broadcast(own), "__q"))
+    return reduce(DataFrame.unionByName, found).drop("__q").withColumn("percent", 100.0 * F.length(query) / F.length(seq))
+
+
+def _hits_of_lot(df: DataFrame, words: list[tuple[str, int]], seq: str) -> DataFrame:
+    """`df` with __q, hit (from 1), start and end of each hit of the numbered words."""
+    held = df.sparkSession.sparkContext.broadcast(words)
+    hit = pa.list_(pa.struct([("__q", pa.int64()), ("hit", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        numbers: dict[str, list[int]] = {}
+        for w, q in held.value:
+            numbers.setdefault(w, []).append(q)
+        automaton = ahocorasick.Automaton()
+        for w in numbers:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            rows: list[list[dict]] = []
+            for text in batch.column(seq).to_pylist():
+                last: dict[str, tuple[int, int]] = {}
+                out: list[dict] = []
+                for end, w in automaton.iter(text) if text and numbers else ():
+                    n, free = last.get(w, (0, 0))
+                    start = end + 1 - len(w)
+                    if start >= free:
+                        last[w] = (n + 1, end + 1)
+                        out += [{"__q": q, "hit": n + 1, "start": start, "end": end + 1} for q in numbers[w]]
+                rows.append(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, hit)], [*batch.schema.names, "__hits"])
+
+    schema = StructType([*df.schema.fields, *StructType.fromDDL("__hits array<struct<__q:long,hit:int,start:int,end:int>>").fields])
+    return df.mapInArrow(search, schema).select("*", F.inline("__hits")).drop("__hits")
 
 
 def label(df: DataFrame, style: str, width: int, description: str = "description") -> DataFrame:

@@ -249,7 +249,9 @@ def nearest_neighbor(spark, t):
 
 @query(f"""WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt({_D2}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT i AS id, round(min(d), 6) AS distance FROM p GROUP BY 1 HAVING min(d) > 1.1""")
 def outliers(spark, t):
-    pairs = spatial.vector_pairs_within(t("embeddings"), "vec_id", "embedding", 1e9).withColumnRenamed("distance", "d")
+    e = t("embeddings")
+    near = spatial.nearest(e, e, "vec_id", "embedding", other_only=True)
+    pairs = near.select(F.col("vec_id").alias("i"), F.col("nearest").alias("j"), F.col("distance").alias("d"))
     return spatial.outliers(pairs, 1.1).select("id", F.round("distance", 6).alias("distance"))
 
 

@@ -51,3 +51,20 @@ def test_ids():
     assert len(kinds("taxid=123,234|")) == 2
     assert len(kinds(">pdb|2aza|pdb|2gb1|pdb_00002aza")) == 3
     assert kinds("something else") == [("Default", "something")]
+
+
+def test_queries_beyond_a_lot_lose_nothing(spark, monkeypatch):
+    from strandframe.operators import sequences, spatial
+
+    df = spark.createDataFrame([(1, "aaaa banana x"), (2, None), (3, "nanana"), (4, "")], "ord long, seq string")
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(["aa", "nana", "an", "x", "", "aa", "é"])], "item long, query string")
+    rows = lambda d: sorted((r.ord, r.item, r.hit, r.start, r.end, round(r.percent, 6)) for r in d.collect())
+    whole = rows(sequences.find_subsequences(df, asked))
+    assert (1, 0, 1, 0, 2, round(200 / 13, 6)) in whole and (1, 0, 2, 2, 4, round(200 / 13, 6)) in whole and (3, 1, 1, 0, 4, round(400 / 6, 6)) in whole
+    monkeypatch.setattr(sequences, "BROADCAST_ROWS", 2)
+    assert rows(sequences.find_subsequences(df, asked)) == whole and len(whole) == 2 * 2 + 2 + 4 + 1
+    points = spark.createDataFrame([(i, [float(i * i % 37), float(i % 5)]) for i in range(60)], "id long, v array<double>")
+    near = lambda: sorted(map(tuple, spatial.nearest(points, points, "id", "v", other_only=True).collect()))
+    one = near()
+    monkeypatch.setattr(spatial, "BROADCAST_POINTS", 7)
+    assert near() == one and len(one) == 60
