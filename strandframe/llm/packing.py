@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import lean, small_batches, utf8
+from strandframe.llm.text import KEEPERS, lean, small_batches, utf8
 from strandframe.operators.state import salted_rank, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words and word parts that a task keeps encoded; bounds its memory.
-KEPT_WORDS, KEPT_PARTS = 200_000, 120_000
+#: Words and word parts that a worker keeps encoded until another operator's task; bounds its memory.
+KEPT_WORDS, KEPT_PARTS = 500_000, 300_000
 
 
 def default_tokenizer() -> str:
@@ -105,6 +105,14 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
+def forget_all() -> None:
+    for e in _encoders.values():
+        e.forget()
+
+
+KEEPERS.append(forget_all)
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each piece; only documents longer than the capacity have more than one."""
     names = ["id", "piece", "start", "length", "ids_crc32"]
@@ -121,10 +129,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_
                     rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        ids.forget()
-
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col))
-    return source.mapInArrow(lean(cut_up), "id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(lean(cut_up, forget_all), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:

@@ -42,10 +42,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYT
             at = to
 
 
-def lean(work: Callable) -> Callable:
-    """`work` on batches without cycle collection; at its end the worker gives its free memory back, as workers outlive their tasks."""
+#: What empties the tables that operators keep in a worker from task to task.
+KEEPERS: list[Callable[[], None]] = []
+
+
+def lean(work: Callable, keeper: Callable[[], None] | None = None) -> Callable:
+    """`work` on batches without cycle collection; at its end the worker gives its free memory back, as workers outlive their tasks.
+
+    Tables that other operators have kept in the worker go first; `keeper` empties the operator's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for forget in KEEPERS:
+            if forget is not keeper:
+                forget()
         gc.disable()
         try:
             yield from work(batches)
