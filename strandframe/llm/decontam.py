@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.text import lean, picked, small_batches, utf8, windows
+from strandframe.llm.text import KEEPERS, lean, picked, small_batches, utf8, windows
 from strandframe.operators.state import table
 
 WINDOW = 8
@@ -27,7 +27,8 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz t ml l s sec min h hr hr
 _NUMBER = re.compile(r"[-+$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _WITH_UNIT = re.compile(r"([-+]?[0-9][0-9.,]*)([a-zA-Z%]+)")
 _EDGES = ".,;:!?\"'()[]{}<>*#&$%|~`“”«»¿¡"
-_KEPT = 150_000
+#: Words that a worker keeps canonical until another operator's task; bounds its memory.
+_KEPT = 200_000
 
 LITERAL, NUMBER, UNIT, NAME = range(4)
 
@@ -49,9 +50,12 @@ class Canon(dict):
         bare = raw.strip(_EDGES)
         low = bare.lower()
         literal = xxhash.xxh3_64_intdigest(low)
-        kind = NUMBER if _NUMBER.fullmatch(bare) else UNIT if low in UNITS and len(low) > 1 or raw in ("%", "$", "€", "£") else LITERAL
-        if kind == LITERAL and (m := _WITH_UNIT.fullmatch(bare)) and m[2].lower() in UNITS:
-            kind = NUMBER
+        if bare.isalpha():  # most words; neither a number nor one with its unit
+            kind = UNIT if len(low) > 1 and low in UNITS else LITERAL
+        else:
+            kind = NUMBER if _NUMBER.fullmatch(bare) else UNIT if low in UNITS and len(low) > 1 or raw in ("%", "$", "€", "£") else LITERAL
+            if kind == LITERAL and (m := _WITH_UNIT.fullmatch(bare)) and m[2].lower() in UNITS:
+                kind = NUMBER
         first = inside = literal if kind == LITERAL else kind
         if kind == LITERAL and (bare[:1].isupper() and bare[1:2].islower() or len(bare) == 1 and bare.isupper()):
             inside = kind = NAME
@@ -84,7 +88,7 @@ def template(text: str, canon: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarra
 TEMPLATES, WORDS, BOTH = range(3)
 
 
-def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None, widths: tuple[int, ...] = (), mode: int = TEMPLATES) -> list[tuple[int, int, list[str], int]]:
+def template_windows(text: str, canon: Canon, wanted: Wanted | None = None, widths: tuple[int, ...] = (), mode: int = TEMPLATES) -> list[tuple[int, int, list[str], int]]:
     """(hash, place, slot values, width) of the windows with enough literal words; only wanted hashes.
 
     Windows are WINDOW words or a whole shorter text, and of each of `widths` below that. Windows
@@ -98,7 +102,7 @@ def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None,
     if mode != TEMPLATES:
         for k in sorted({min(WINDOW, n), *(w for w in widths if w < min(WINDOW, n))}):
             found = (windows(canon.word[at], k) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
-            keep = np.nonzero(_among(found, wanted))[0] if wanted is not None else range(len(found))
+            keep = np.nonzero(wanted.among(found))[0] if wanted is not None else range(len(found))
             out += [(int(found[i]), int(i), [], k) for i in keep]
     if mode == WORDS:
         return out
@@ -107,24 +111,47 @@ def template_windows(text: str, canon: Canon, wanted: np.ndarray | None = None,
         found = windows(hashes, k).view(np.int64)
         ok = literal[k:] - literal[: n - k + 1] >= min(LITERALS, k)
         if wanted is not None:
-            ok &= _among(found, wanted)
+            ok &= wanted.among(found)
         out += [(int(found[i]), int(i), [f"{kinds[j]}={canon.low[at[j]]}" for j in range(i, i + k) if kinds[j] != LITERAL], k) for i in np.nonzero(ok)[0]]
     return out
 
 
-def _among(found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(len(found), bool)
-    return wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found
+class Wanted:
+    """A sorted array of hashes; a table of their low bits answers most questions alone."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.mask = np.int64((1 << (18 if len(hashes) < 50_000 else 22)) - 1)
+        self.low = np.zeros(int(self.mask) + 1, bool)
+        self.low[hashes & self.mask] = True
+
+    def among(self, found: np.ndarray) -> np.ndarray:
+        """Which of the hashes are wanted."""
+        out = self.low[found & self.mask]
+        may = np.nonzero(out)[0]
+        if len(may):
+            own = found[may]
+            out[may] = self.hashes[np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)] == own
+        return out
+
+
+_canon = Canon()
+
+
+def _forget() -> None:
+    _canon.reset()
+
+
+KEEPERS.append(_forget)
 
 
 _KINDS = "id long, window long, place int, slots array<string>, width int"
 
 
 def _rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, widths: tuple[int, ...] = (), mode: int = TEMPLATES) -> Iterator[pa.RecordBatch]:
-    canon = Canon()
+    sought = None if wanted is None else Wanted(wanted)
     for batch in batches:
-        out = [(i, *w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in template_windows(text.decode(), canon, wanted, widths, mode)]
+        out = [(i, *w) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in template_windows(text.decode(), _canon, sought, widths, mode)]
         for k in range(0, len(out), 50_000):
             cols = zip(*out[k : k + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()), strict=True)], ["id", "window", "place", "slots", "width"])
@@ -162,7 +189,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         wanted = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in asked.select("window").distinct().collect()), dtype=np.int64))
     sizes = asked.groupBy("item").agg(F.count_distinct("window").alias("n_windows"), (F.max("item_place") + F.max("width")).alias("n_words"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col)).where("id is not null")
-    seen = source.mapInArrow(lean(lambda b: _rows(b, wanted.value if wanted else None, widths, mode)), _KINDS).drop("width")
+    seen = source.mapInArrow(lean(lambda b: _rows(b, wanted.value if wanted else None, widths, mode), _forget), _KINDS).drop("width")
     hits = table(seen.join(F.broadcast(asked.drop("width")) if few else asked.drop("width"), "window"), "hits")
     lengths = F.broadcast(sizes) if few else sizes
     whole = hits.groupBy("id", "item").agg(F.count_distinct("window").alias("matched")).join(lengths, "item")
