@@ -21,7 +21,7 @@ from strandframe.operators.state import salted_rank, table
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words and word parts that a worker keeps encoded until another operator's task; bounds its memory.
-KEPT_WORDS, KEPT_PARTS = 500_000, 300_000
+KEPT_WORDS, KEPT_PARTS = 350_000, 200_000
 
 
 def default_tokenizer() -> str:
