@@ -110,3 +110,42 @@ def test_delimited(spark, tmp_path):
     assert files.read_delimited(spark, str(tmp_path / "a.csv"), "a double, b double, c double").count() == 2
     (tmp_path / "n.txt").write_text("1 2\t3\n # no\n4   5 6\n")
     assert [r["values"] for r in files.read_whitespace(spark, str(tmp_path / "n.txt")).collect()] == [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
+
+
+def test_taxonomy_archive_and_names(spark, tmp_path):
+    import io
+    import tarfile
+
+    from strandframe.operators import taxonomy
+    from strandframe.sources import files
+
+    nodes = "1\t|\t1\t|\tno rank\t|\n9606\t|\t1\t|\tspecies\t|\n"
+    names = "1\t|\troot\t|\t\t|\tscientific name\t|\n9606\t|\tHomo sapiens\t|\t\t|\tscientific name\t|\n9606\t|\thuman\t|\t\t|\tcommon name\t|\n9606\t|\tx\t|\t\t|\tauthority\t|\n"
+    with tarfile.open(tmp_path / "taxdump.tar.gz", "w:gz") as tar:
+        for name, text in (("nodes.dmp", nodes), ("names.dmp", names)):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    tree, called = files.read_taxdump(spark, str(tmp_path / "taxdump.tar.gz"))
+    assert sorted(map(tuple, tree.collect())) == [(1, 1, "no rank", "root"), (9606, 1, "species", "Homo sapiens")]
+    wanted = spark.createDataFrame([("human",), ("nobody",)], "name string")
+    ids = taxonomy.taxids_of(called, wanted)
+    assert list(map(tuple, ids.collect())) == [("human", 9606)]
+    assert taxonomy.names_of(called, ids).first().names == ["Homo sapiens", "human"]
+
+
+def test_ligands_leave_out_additives(spark):
+    from strandframe.operators import structure
+
+    rows = [("d", c, "non-polymer") for c in ("HOH", "ZN", "MES", "ATP", "EDO", "ATP")] + [("d", "ALA", "polymer")]
+    got = structure.ligands(spark.createDataFrame(rows, "deposit_id string, code string, entity_type string")).collect()
+    assert sorted(r.code for r in got) == ["ATP", "EDO"]
+
+
+def test_matrix_read_by_spark(spark, tmp_path):
+    from strandframe.functions.scoring import read_ncbi_matrix
+
+    path = tmp_path / "m.txt"
+    path.write_text("# a matrix\n   A  R\nA  4 -1\nR -1  5\n")
+    one, other = read_ncbi_matrix(str(path)), read_ncbi_matrix(str(path), spark)
+    assert one.letters == other.letters and (one.rows == other.rows).all() and other.rows.tolist() == [[4, -1], [-1, 5]]
