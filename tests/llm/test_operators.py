@@ -619,6 +619,21 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_odd(spark):
+    long = "<p>x</p>" * 200_000 + '<link rel="canonical" href="http://bad.net/">'
+    rows = [(1, "http://a.com/", long), (1, "http://a.com/", long), (2, None, None), (None, "", ""), (3, "://", "<link rel=canonical href=>"), (4, "http://c.com" + "/x" * 50_000, '<link rel="canonical" href="http://c.com/">'), (5, "HTTP://D.NET?q", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("host", "path", "rule", "verdict", "node", "own", "u", "v", "component", "shared"):
+        df = df.withColumn(c, F.lit("x"))
+    got = urls.judge(df).collect()
+    by = {g.page_id: g for g in got}
+    assert len(got) == 7 and [g.verdict for g in got if g.page_id == 1] == ["block", "block"]
+    assert (by[2].host, by[2].path, by[2].rule, by[2].verdict) == ("", "", None, "allow") and by[None].verdict == by[3].verdict == by[4].verdict == "allow"
+    assert (by[5].host, by[5].path, by[5].verdict) == ("d.net", "", "allow")
+    empty = spark.createDataFrame([(1, "http://e.com", ""), (2, "http://bad.net/x", "")], "page_id long, url string, html string")
+    assert {g.page_id: g.verdict for g in urls.judge(empty).collect()} == {1: "allow", 2: "block"}
+
+
 def test_urls_equal_sql(spark):
     import duckdb
     import pandas as pd
