@@ -124,6 +124,39 @@ def clusters_of_distances(spark: SparkSession, args: argparse.Namespace) -> Data
     return clustering.hierarchical(d.withColumn("k", F.lit(0)), ["k"], args.linkage, args.cutoff).drop("k")
 
 
+def _points(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, list[str]]:
+    """The asked columns of a file of numbers, as x1, x2 and on, with a row's `id`."""
+    names = [f"x{c}" for c in args.columns]
+    rows = files.read_whitespace(spark, args.input).withColumn("id", F.monotonically_increasing_id())
+    return rows.select("id", *(F.get("values", F.lit(c - 1)).alias(n) for c, n in zip(args.columns, names, strict=True))), names
+
+
+def kmeans(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Points with their cluster and cost."""
+    points, names = _points(spark, args)
+    return clustering.kmeans(points.withColumn("features", F.array(*names)), args.clusters, repeats=args.repeats)[0].drop("features")
+
+
+def optics(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Points of the clusters that have the least size, in order of reach."""
+    points, names = _points(spark, args)
+    got = clustering.optics(points, "id", names, args.radius, args.min_points)
+    large = got.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= args.min_size)
+    return got.join(large.select("cluster"), "cluster").join(points, "id")
+
+
+def fit_normal(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Means and covariances of the columns."""
+    points, names = _points(spark, args)
+    return stats.covariance(points, names)
+
+
+def stockholm_to_fasta(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Aligned rows, or with --ungapped their sequences."""
+    rows = files.read_stockholm(spark, args.input)
+    return rows.withColumn("seq", S.ungapped("seq")) if args.ungapped else rows
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="strandframe", description=__doc__)
     sub = out.add_subparsers(dest="command", required=True)
@@ -148,6 +181,11 @@ def parser() -> argparse.ArgumentParser:
     command("hist2d", hist2d, ("--columns", {"type": int, "nargs": 2, "default": [1, 2]}), ("--widths", {"type": float, "nargs": 2, "default": [1.0, 1.0]}))
     command("autocorrelation", autocorrelation, ("--columns", {"type": int, "nargs": "+", "default": [1, 2, 3]}), ("--lags", {"type": int, "default": 100}))
     command("clust", clusters_of_distances, ("--linkage", {"choices": sorted(clustering.LINKAGES), "default": "single"}), ("--cutoff", {**real, "default": 0.0}))
+    columns = ("--columns", {"type": int, "nargs": "+", "default": [1, 2]})
+    command("kmeans", kmeans, columns, ("--clusters", {"type": int, "default": 2}), ("--repeats", {"type": int, "default": 1}))
+    command("optics", optics, columns, ("--radius", {**real, "default": 1.0}), ("--min-points", {"type": int, "default": 5}), ("--min-size", {"type": int, "default": 1}))
+    command("normal", fit_normal, columns)
+    command("stockholm-to-fasta", stockholm_to_fasta, ("--ungapped", flag))
     return out
 
 

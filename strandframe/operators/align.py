@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import sequences as S
 from strandframe.functions.scoring import Scores, blosum62
 from strandframe.operators.sequences import bounded
+from strandframe.operators.state import table
 
 #: Steps of a path: a gap in the query, a gap in the template, a matched pair.
 GAP_IN_QUERY, GAP_IN_TEMPLATE, MATCH = "-", "|", "*"
@@ -172,6 +173,34 @@ def pairwise_text(query: Column | str, template: Column | str, width: int = 60)
     return F.array_join(F.transform(starts, lambda k: F.concat(part(q, k), F.lit("\n"), part(middle, k), F.lit("\n"), part(t, k), F.lit("\n"))), "\n")
 
 
+def pairwise_blocks(query: Column | str, template: Column | str, query_name: Column | str, template_name: Column | str, name_width: int = 10, width: int = 60) -> Column:
+    """Blocks of both rows, each row with its name, the number of its first and last residue there; | under equal letters.
+
+    A block in which a row has only gaps shows the number before its next residue twice.
+    """
+    q, t, qn, tn = (F.col(x) if isinstance(x, str) else x for x in (query, template, query_name, template_name))
+    blank, number = " " * (name_width + 7), F.lit(" ")
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(q) - 1) / width), F.lit(0)).cast("int"))
+    part = lambda x, k: F.substr(x, k * width + 1, F.lit(width))
+    before = lambda x, k: S.len_ungapped(F.substr(x, F.lit(1), k * width))
+
+    def row(x: Column, name: Column, k: Column) -> Column:
+        held = S.len_ungapped(part(x, k))
+        first = before(x, k) + F.when(held > 0, 1).otherwise(0)
+        label = F.rpad(F.substring(name, 1, name_width), name_width, " ")
+        return F.concat(label, number, F.lpad(first.cast("string"), 5, " "), number, part(x, k), number, F.lpad((before(x, k) + held).cast("string"), 5, " "))
+
+    middle = F.array_join(F.zip_with(S.letters(q), S.letters(t), lambda a, b: F.when((a == b) & ~a.isin("-", "_"), "|").otherwise(" ")), "")
+    block = lambda k: F.concat_ws("\n", row(q, qn, k), F.concat(F.lit(blank), part(middle, k)), row(t, tn, k))
+    return F.array_join(F.transform(starts, block), "\n")
+
+
+def reports(aligned: DataFrame, reporters: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """Each reporter's table by name; the alignments are computed once, as a table that all of them read."""
+    held = table(aligned, "aligned")
+    return {name: reporter(held) for name, reporter in reporters.items()}
+
+
 def retrieve_by_identity(aligned: DataFrame, ids: DataFrame) -> DataFrame:
     """The aligned pairs whose query is listed."""
     return aligned.join(bounded(ids.select("q").distinct()), "q", "left_semi")

@@ -20,12 +20,33 @@ def first_three(r1: float, r2: float, planar: float) -> np.ndarray:
     return np.array([[0, 0, 0], [r1, 0, 0], [r1 + r2 * np.cos(np.pi - planar), r2 * np.sin(np.pi - planar), 0]], dtype=float)
 
 
+def build_order(topology: np.ndarray) -> list[int]:
+    """The atoms from the fourth on, each after the three that it stands on; raises where atoms stand on one another in a ring."""
+    n = len(topology)
+    waits = [[] for _ in range(n)]
+    left = [0] * n
+    for i in range(3, n):
+        for j in set(topology[i]):
+            if j >= 3:
+                waits[j].append(i)
+                left[i] += 1
+    ready = [i for i in range(3, n) if not left[i]]
+    for i in ready:  # grows as atoms are placed
+        for j in waits[i]:
+            left[j] -= 1
+            if not left[j]:
+                ready.append(j)
+    if len(ready) < n - 3:
+        raise ValueError("atoms stand on one another in a ring")
+    return ready
+
+
 def restore(r: np.ndarray, planar: np.ndarray, dihedral: np.ndarray, topology: np.ndarray | None = None) -> np.ndarray:
-    """Positions of all atoms. topology: (a, b, c) numbers of each atom's references, in build order; the three before it without one."""
+    """Positions of all atoms. topology: (a, b, c) numbers of each atom's references, earlier or later; the three before it without one."""
     n = len(r)
     out = np.zeros((n, 3))
     out[:3] = first_three(r[1] if n > 1 else 0, r[2] if n > 2 else 0, planar[2] if n > 2 else np.pi)[:n]
-    for i in range(3, n):
+    for i in range(3, n) if topology is None else build_order(topology):
         a, b, c = (i - 3, i - 2, i - 1) if topology is None else topology[i]
         out[i] = place(out[a], out[b], out[c], r[i], planar[i], dihedral[i])
     return out
@@ -46,7 +67,7 @@ def build_chains(atoms: DataFrame, keys: list[str]) -> DataFrame:
         topology = None
         if has_topology:
             at = {o: i for i, o in enumerate(pdf["ord"])}
-            topology = np.array([[at.get(x, 0) for x in row] for row in pdf[["a", "b", "c"]].to_numpy()])
+            topology = np.array([[at.get(x, 0) for x in row] for row in pdf[["a", "b", "c"]].to_numpy()], dtype=int)
         xyz = restore(pdf["r"].to_numpy(float), pdf["planar"].to_numpy(float), pdf["dihedral"].to_numpy(float), topology)
         out = pd.DataFrame({"ord": pdf["ord"].to_numpy("int64"), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
         for k in reversed(keys):

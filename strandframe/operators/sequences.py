@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from strandframe.functions import sequences as S
 from strandframe.operators.state import table
 
+#: Rows of an alignment that a tile of all pairs holds on either side.
+TILE_ROWS = 500
 #: A side is broadcast up to so many rows; beyond, Spark plans the join by its own statistics.
 BROADCAST_ROWS = 200_000
 
@@ -183,11 +185,18 @@ def longest_sequence(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataF
 
 
 def identity_pairs(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """keys, i, j, identical for i > j: rows of one alignment, which its size bounds."""
-    a = msa.select(*keys, F.col("ord").alias("i"), F.col(seq).alias("a"))
-    b = msa.select(*keys, F.col("ord").alias("j"), F.col(seq).alias("b"))
-    pairs = a.join(b, [a[k] == b[k] for k in keys] + [a["i"] > b["j"]] if keys else a["i"] > b["j"])
-    return pairs.select(*(a[k] for k in keys), "i", "j", S.count_identical("a", "b").alias("identical"), S.percent_identity("a", "b").alias("percent"))
+    """keys, i, j, identical for i > j: all pairs of rows of one alignment.
+
+    Rows are dealt into tiles of about TILE_ROWS by the size of the largest alignment, and tiles
+    meet tiles, so that an alignment with most of the rows is spread over all tasks.
+    """
+    largest = msa.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    tiles = -(-largest // TILE_ROWS)
+    own, every = F.pmod(F.xxhash64("ord"), F.lit(tiles)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    a = msa.select(*keys, F.col("ord").alias("i"), F.col(seq).alias("a"), own.alias("__ta"), every.alias("__tb"))
+    b = msa.select(*keys, F.col("ord").alias("j"), F.col(seq).alias("b"), own.alias("__tb"), every.alias("__ta"))
+    pairs = a.join(b, [*keys, "__ta", "__tb"]).where("i > j")
+    return pairs.select(*keys, "i", "j", S.count_identical("a", "b").alias("identical"), S.percent_identity("a", "b").alias("percent"))
 
 
 def medoid_sequence(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:

@@ -47,6 +47,21 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def ordered_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number all rows from 0 in order, without gaps and without a task that holds all of them.
+
+    Rows are dealt by ranges of `order` and written with their range, whose sizes then give each
+    range its first number. Rows that tie are numbered in any order.
+    """
+    part, first = f"__part_{out}", f"__first_{out}"
+    dealt = cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(first))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range only
+    starts = sizes.select(part, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return dealt.withColumn(out, within).join(F.broadcast(starts), part).withColumn(out, F.col(out) + F.col(first)).drop(part, first)
+
+
 def salted_rank(df: DataFrame, keys: list[str], row_id: str, out: str, salts: int = 256) -> DataFrame:
     """Number the rows of each key from 0 without gaps.
 

@@ -8,7 +8,8 @@ from itertools import combinations_with_replacement
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from strandframe.operators.state import ordered_rank
 
 
 def _d(x: Column | str) -> Column:
@@ -176,11 +177,11 @@ def autocorrelation(df: DataFrame, order: str, columns: list[str], max_lag: int)
     Rows are numbered once; each lag is one equi-join row, so work is rows times lags.
     """
     means = df.agg(F.count(F.lit(1)).alias("n"), *(F.avg(_d(c)).alias(f"m_{c}") for c in columns))
-    ranked = df.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(means))
+    ranked = ordered_rank(df.select(order, *columns).withColumnRenamed(order, "__at"), ["__at"], "i").crossJoin(F.broadcast(means))
     points = ranked.select("i", "n", *((_d(c) - F.col(f"m_{c}")).alias(c) for c in columns))
     ahead = points.select((F.col("i")).alias("k"), *(F.col(c).alias(f"b_{c}") for c in columns))
     lags = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
-    paired = lags.where("lag < n").withColumn("k", ((F.col("i") + F.col("lag")) % F.col("n")).cast("int")).join(ahead, "k")
+    paired = lags.where("lag < n").withColumn("k", ((F.col("i") + F.col("lag")) % F.col("n")).cast("long")).join(ahead, "k")
     dot = sum((F.col(c) * F.col(f"b_{c}") for c in columns), F.lit(0.0))
     sums = paired.groupBy("lag").agg(F.sum(dot).alias("s"))
     zero = sums.where("lag = 0").select(F.col("s").alias("s0"))

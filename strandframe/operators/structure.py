@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from strandframe.functions import atoms as A
 from strandframe.functions import chemistry as C
 from strandframe.functions import geometry as G
+from strandframe.functions.entities import polymer_kind
+from strandframe.operators.sequences import bounded
 from strandframe.operators.spatial import within
 
 KEY = ["deposit_id", "model"]
@@ -124,16 +126,68 @@ def annotate_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], at: s
     return points.join(best, [*keys, at], "left")
 
 
-def chain_sequences(atoms: DataFrame, types: DataFrame) -> DataFrame:
-    """deposit_id, model, chain_id, sequence: letters of the chain's largest entity without water; unknown is X."""
+def polymer_residues(atoms: DataFrame) -> DataFrame:
+    """The residues, water left out, of each chain's largest entity; ties go to the entity met first."""
     res = residues(atoms).where("res_name <> 'HOH'")
     size = res.groupBy(*KEY, "chain_id", "entity_id").agg(F.count(F.lit(1)).alias("n"), F.min("res_ord").alias("first"))
     main = size.groupBy(*KEY, "chain_id").agg(F.max_by("entity_id", F.struct("n", -F.col("first"))).alias("entity_id"))
-    own = res.join(main, [*KEY, "chain_id", "entity_id"]).join(F.broadcast(types.select(F.col("code3").alias("res_name"), "code1")), "res_name", "left")
+    return res.join(main, [*KEY, "chain_id", "entity_id"])
+
+
+def chain_sequences(atoms: DataFrame, types: DataFrame) -> DataFrame:
+    """deposit_id, model, chain_id, sequence: letters of the chain's largest entity without water; unknown is X."""
+    own = polymer_residues(atoms).join(bounded(types.select(F.col("code3").alias("res_name"), "code1")), "res_name", "left")
     letters = F.transform(F.array_sort(F.collect_list(F.struct("res_ord", F.coalesce("code1", F.lit("X")).alias("c")))), lambda x: x["c"])
     return own.groupBy(*KEY, "chain_id").agg(F.array_join(letters, "").alias("sequence"))
 
 
+def entity_ids(atoms: DataFrame) -> DataFrame:
+    """deposit_id, model, entity_ids: sorted and distinct; a deposit's own number of entities bounds the row."""
+    return atoms.groupBy(*KEY).agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
+
+
+def best_entity_chains(sequences: DataFrame, entities: DataFrame) -> DataFrame:
+    """deposit_id, model, entity_id, chain_id, sequence: the longest chain of each L-polypeptide; ties go to the chain named first.
+
+    entities: deposit_id, entity_id, polymer_type, chains.
+    """
+    own = entities.where(polymer_kind("polymer_type") == "PolypeptideL").select("deposit_id", "entity_id", F.posexplode("chains").alias("__at", "chain_id"))
+    best = F.max_by(F.struct("chain_id", "sequence"), F.struct(F.length("sequence"), -F.col("__at"))).alias("r")
+    return sequences.join(own, ["deposit_id", "chain_id"]).groupBy(*KEY, "entity_id").agg(best).select(*KEY, "entity_id", "r.*")
+
+
+def d_residues(atoms: DataFrame, types: DataFrame) -> DataFrame:
+    """deposit_id, model, counts, percent: residues that may be D-amino acids by name, and their share of all peptide residues.
+
+    types: code3, type (the component's type text). Types that state no configuration count as D too.
+    """
+    kind = F.col("type")
+    own = residues(atoms).join(bounded(types.select(F.col("code3").alias("res_name"), "type")), "res_name").where(C.is_peptide_linking(kind))
+    by_name = own.groupBy(*KEY, "res_name").agg(F.count(F.lit(1)).alias("n"), F.bool_or(C.is_d_peptide_linking(kind)).alias("d"))
+    some = F.sort_array(F.collect_list(F.when(F.col("d"), F.struct("res_name", "n"))))
+    return by_name.groupBy(*KEY).agg(some.alias("counts"), (100.0 * F.coalesce(F.sum(F.when(F.col("d"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("percent"))
+
+
+def entity_listing(atoms: DataFrame, entities: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """deposit_id, model, entity_id, line: the entities that the atoms hold, with their chains there, a polymer's reference and, if types are given, its letters.
+
+    entities: deposit_id, entity_id, type, description, chains, db_code, monomers.
+    """
+    there = atoms.groupBy(*KEY, "entity_id").agg(F.collect_set("chain_id").alias("__seen"))
+    met = there.join(entities, ["deposit_id", "entity_id"])
+    polymer = F.col("type") == "polymer"
+    parts = ["entity_id", F.trim("description"), F.array_join(F.filter("chains", lambda c: F.array_contains("__seen", c)), " "), F.when(polymer, F.col("db_code"))]
+    if types is not None:
+        letter = types.select(F.col("code3").alias("__code"), "code1")
+        at = [*KEY, "entity_id"]
+        cells = met.where(polymer).select(*at, F.posexplode("monomers").alias("__at", "__code")).join(bounded(letter), "__code", "left")
+        spelt = cells.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("code1", F.lit("X")).alias("c")))), lambda x: x["c"]), "").alias("__letters"))
+        met = met.join(spelt, at, "left")
+        parts.append("__letters")
+    words = F.filter(F.array(*(F.col(p) if isinstance(p, str) else p for p in parts)), lambda w: w.isNotNull() & (w != ""))
+    return met.select(*KEY, "entity_id", F.array_join(words, " ").alias("line"))
+
+
 def longest_chains(sequences: DataFrame) -> DataFrame:
     """The longest chain of each model; ties go to the first id."""
     best = F.max_by(F.struct("chain_id", "sequence"), F.struct(F.length("sequence"), F.transform(F.split("chain_id", ""), lambda c: -F.ascii(c)))).alias("r")

@@ -257,8 +257,7 @@ def outliers(spark, t):
 
 @query(f"""WITH p AS (SELECT a.label, a.vec_id AS i, max(sqrt({_D2})) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, i) AS k FROM p) SELECT label AS cluster, i AS id, round(d, 6) AS distance FROM r WHERE k = 1""")
 def medoids(spark, t):
-    pairs = spatial.vector_pairs_within(t("embeddings"), "vec_id", "embedding", 1e9).withColumnRenamed("distance", "d")
-    m = spatial.medoids(pairs, t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")))
+    m = spatial.point_medoids(t("embeddings"), "vec_id", "embedding", "label")
     return m.select("cluster", "id", F.round("distance", 6).alias("distance"))
 
 
@@ -366,4 +365,4 @@ def name_match(spark, t):
     return taxonomy.match_names(part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("description")), names).select("ord", "name")
 
 
-from strandframe.plans import structure_queries  # noqa: E402, F401  registers its queries
+from strandframe.plans import polymer_queries, structure_queries  # noqa: E402, F401  register their queries

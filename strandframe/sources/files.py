@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.functions import chemistry as C
+from strandframe.functions.entities import locator, parse_bool
 from strandframe.sources import parsers as P
 
 #: Columns of an atoms table.
@@ -126,11 +128,12 @@ def record_header(df: DataFrame) -> DataFrame:
     return df.withColumn("description", F.concat_ws(" ", base, "full_name", F.concat(F.lit("OS="), "species_name"), F.concat(F.lit("OX="), F.col("taxid").cast("string"))))
 
 
-def read_cif(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """path, block_idx, block, kind, loop_idx, row_idx, name, value: every value of every file."""
+def read_cif(spark: SparkSession, path: str | list[str], glob: str | None = None, only: Callable[[list[str]], bool] | None = None) -> DataFrame:
+    """path, block_idx, block, kind, loop_idx, row_idx, name, value: every value of every file, or of those whose lines pass `only`."""
 
     def parse(_: str, lines: list[str]) -> Iterator[tuple]:
-        yield from P.cif(lines)
+        if only is None or only(lines):
+            yield from P.cif(lines)
 
     return _parsed(_files(spark, path, glob), "block_idx long, block string, kind string, loop_idx long, row_idx long, name string, value string", parse)
 
@@ -210,12 +213,12 @@ def cif_ranges(values: DataFrame) -> DataFrame:
     return pick(h, "RightAlphaHelix", 0).unionByName(pick(s, "Strand", 1_000_000))
 
 
-def read_pdb_atoms(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """An atoms table from PDB files."""
+def read_pdb_atoms(spark: SparkSession, path: str | list[str], glob: str | None = None, only: Callable[[list[str]], bool] | None = None) -> DataFrame:
+    """An atoms table from PDB files, or from those whose lines pass `only`."""
     names = [f.split()[0] for f in _fields(ATOMS)][1:]
 
     def parse(_: str, lines: list[str]) -> Iterator[tuple]:
-        for a in P.pdb_atoms(lines):
+        for a in P.pdb_atoms(lines) if only is None or only(lines) else ():
             yield tuple(a[n] for n in names)
 
     kinds = ", ".join(x.strip() for x in _fields(ATOMS)[1:])
@@ -245,6 +248,74 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _parsed(_files(spark, path), "format string", parse)
 
 
+def component_atoms(values: DataFrame) -> DataFrame:
+    """An atoms table from _chem_comp_atom: chain and entity A, a residue for each block of a file, model coordinates."""
+    from strandframe.functions.atoms import padded_name
+
+    t = cif_table(values, "_chem_comp_atom", ["pdbx_ordinal", "atom_id", "pdbx_component_comp_id", "model_Cartn_x", "model_Cartn_y", "model_Cartn_z", "charge", "type_symbol"])
+    place = values.select("path", "block", (F.col("block_idx") + 1).cast("int").alias("res_seq")).distinct()
+    return t.join(place, ["path", "block"]).select(
+        deposit_id("path").alias("deposit_id"), F.lit(1).alias("model"), "res_seq", F.lit("A").alias("chain_id"), F.lit("A").alias("entity_id"), F.lit(" ").alias("i_code"), F.col("pdbx_ordinal").cast("int").alias("serial"),
+        padded_name(F.col("atom_id"), F.col("type_symbol")).alias("name"), F.col("pdbx_component_comp_id").alias("res_name"), *(F.col(f"model_Cartn_{c}").cast("double").alias(c) for c in "xyz"),
+        F.when(F.col("charge") != "0", F.col("charge")).alias("charge"), F.col("type_symbol").alias("element"),
+    )
+
+
+def component_reference(values: DataFrame) -> DataFrame:
+    """code3, ord, atom_name, leaving, element: the reference atoms of each component, as `complete_residues` takes them."""
+    t = cif_table(values, "_chem_comp_atom", ["pdbx_ordinal", "atom_id", "pdbx_leaving_atom_flag", "type_symbol"])
+    return t.select(F.col("block").alias("code3"), F.col("pdbx_ordinal").cast("int").alias("ord"), F.col("atom_id").alias("atom_name"), parse_bool("pdbx_leaving_atom_flag").alias("leaving"), F.col("type_symbol").alias("element"))
+
+
+def component_types(values: DataFrame) -> DataFrame:
+    """code3, code1, kind, type: components as `residue_types` takes them (drop `type` first), one row a code; the letter is X."""
+    t = cif_table(values, "_chem_comp", ["id", "type"]).where(F.col("id").isNotNull()).groupBy(F.col("id").alias("code3")).agg(F.min("type").alias("type"))
+    kind = F.when(C.is_peptide_linking(F.col("type")), C.PEPTIDE).when(C.is_nucleic_linking(F.col("type")), C.NUCLEIC).otherwise(C.OTHER)
+    return t.select("code3", F.lit("X").alias("code1"), kind.alias("kind"), "type")
+
+
+def definitions(values: DataFrame) -> DataFrame:
+    """Atom definitions of `operators.polymers` by block, from tables of internal coordinates; angles become radians."""
+    names = ["_res_name", *(f"_atom_{p}_{x}" for p in "abcd" for x in ("residue_locator", "name")), "_atom_d_element", "_c_d_bond_length", "_b_c_d_planar_angle", "_a_b_c_d_dihedral_angle", "_dihedral_angle_name"]
+    wide = values.where(F.col("name").isin(*names)).groupBy("path", "block_idx", "block", "row_idx").pivot("name", names).agg(F.first("value"))
+    place = lambda p: (locator(f"_atom_{p}_residue_locator").alias(f"{p}_loc"), F.col(f"_atom_{p}_name").alias("name" if p == "d" else p))
+    angle = lambda n: F.radians(F.col(n).cast("double"))
+    return wide.select(
+        "block", F.col("row_idx").alias("def_ord"), F.col("_res_name").alias("res_name"), *(c for p in "abcd" for c in place(p)), F.col("_atom_d_element").alias("element"), F.col("_c_d_bond_length").cast("double").alias("r"),
+        angle("_b_c_d_planar_angle").alias("planar"), angle("_a_b_c_d_dihedral_angle").alias("dihedral"), F.col("_dihedral_angle_name").alias("dihedral_name"),
+    )
+
+
+def read_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """The definitions of all .cif and .CIF files of a folder."""
+    return definitions(read_cif(spark, folder, glob="*.{cif,CIF}"))
+
+
+#: What may stand before and after a deposit's code in the names of CIF and of PDB files, in the order tried.
+CIF_NAMES = (("", "pdb"), (".cif", ".cif.gz", ".gz", ".CIF", ".CIF.gz", ""))
+PDB_NAMES = (("pdb", "PDB", ""), (".ent", ".ent.gz", ".gz", ".pdb", ".PDB", ".pdb.gz", ""))
+
+
+def find_deposit(spark: SparkSession, code: str, folder: str, kind: str = "cif") -> str:
+    """The path of a deposit's file: `code` itself if it is one, in the folder, or under a usual name there or in the folder of its middle letters."""
+    prefixes, suffixes = CIF_NAMES if kind == "cif" else PDB_NAMES
+    base, low = folder.rstrip("/"), code.lower()
+    usual = (f"{base}/{sub}{p}{c}{s}" for p in prefixes for s in suffixes for sub in ("", f"{low[1:3]}/") for c in (low, code.upper()))
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for name in (code, f"{base}/{code}", *usual):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.getFileStatus(path).isFile():
+            return name
+    raise FileNotFoundError(f"no {kind} file of {code} in {folder}")
+
+
+def read_structure(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The atoms of CIF and PDB files alike, as each file's first line tells; other files are left out."""
+    atoms = read_pdb_atoms(spark, path, only=P.looks_like_pdb)
+    return atoms.unionByName(cif_atoms(read_cif(spark, path, only=P.looks_like_cif)))
+
+
 def _tar_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
     """`value`: the lines of a member of a tar archive, compressed or not; one task streams it."""
 

@@ -149,3 +149,24 @@ def test_matrix_read_by_spark(spark, tmp_path):
     path.write_text("# a matrix\n   A  R\nA  4 -1\nR -1  5\n")
     one, other = read_ncbi_matrix(str(path)), read_ncbi_matrix(str(path), spark)
     assert one.letters == other.letters and (one.rows == other.rows).all() and other.rows.tolist() == [[4, -1], [-1, 5]]
+
+
+def test_structure_of_components_and_deposit_files(spark, tmp_path):
+    from strandframe.operators import structure
+    from strandframe.sources import files
+
+    (tmp_path / "gb").mkdir()
+    text = "data_ALA\n_chem_comp.id ALA\n_chem_comp.type 'L-PEPTIDE LINKING'\nloop_\n_chem_comp_atom.pdbx_ordinal\n_chem_comp_atom.atom_id\n_chem_comp_atom.pdbx_leaving_atom_flag\n_chem_comp_atom.type_symbol\n1 N N N\n2 CA N C\n3 OXT Y O\n"
+    (tmp_path / "gb" / "2gb1.cif").write_text(text)
+    (tmp_path / "pdb1abc.ent").write_text("HEADER\nATOM      1  CA  ALA A   1       1.000   2.000   3.000  1.00  0.00           C\nATOM      2  N   ALA A   1       1.000   2.000   3.000  1.00  0.00           N\n")
+    assert files.find_deposit(spark, "2GB1", str(tmp_path)).endswith("/gb/2gb1.cif")
+    assert files.find_deposit(spark, "1abc", str(tmp_path), "pdb").endswith("/pdb1abc.ent")
+    with pytest.raises(FileNotFoundError):
+        files.find_deposit(spark, "9xyz", str(tmp_path))
+    values = files.read_cif(spark, str(tmp_path / "gb"))
+    reference = files.component_reference(values)
+    assert sorted((r.atom_name, r.leaving) for r in reference.collect()) == [("CA", False), ("N", False), ("OXT", True)]
+    atoms = files.read_structure(spark, str(tmp_path / "pdb1abc.ent"))
+    assert atoms.count() == 2 and structure.complete_residues(atoms, reference).count() == 1
+    types = files.component_types(values)
+    assert [(r.code3, r.kind) for r in types.collect()] == [("ALA", "peptide")]
