@@ -110,6 +110,10 @@ def matrix(values) -> Column:
     return F.array(*(v if isinstance(v, Column) else F.lit(float(v)) for v in np.ravel(np.array(values, dtype=object))))
 
 
+def identity() -> Column:
+    return matrix([1.0 if i == j else 0.0 for i in range(3) for j in range(3)])
+
+
 def from_columns(a: Column, b: Column, c: Column) -> Column:
     return F.array(*(v[k] for k in "xyz" for v in (a, b, c)))
 

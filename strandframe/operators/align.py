@@ -201,6 +201,18 @@ def reports(aligned: DataFrame, reporters: dict[str, Callable[[DataFrame], DataF
     return {name: reporter(held) for name, reporter in reporters.items()}
 
 
+def path_counts(path: Column | str) -> Column:
+    """struct<matched, gaps_in_query, gaps_in_template> of a path's text; raises for a step that is none, null for null."""
+    p = F.col(path) if isinstance(path, str) else path
+    steps = {"matched": MATCH, "gaps_in_query": GAP_IN_QUERY, "gaps_in_template": GAP_IN_TEMPLATE}
+    other = F.translate(p, "".join(steps.values()), "")
+    wrong = F.raise_error(F.concat(F.lit("no alignment steps: "), other))
+    n = lambda step: F.length(p) - F.length(F.replace(p, F.lit(step), F.lit("")))
+    counts = F.struct(*(n(s).alias(k) for k, s in steps.items()))
+    checked = F.when(other != "", wrong.cast("string")).otherwise(F.lit(""))
+    return F.when(p.isNotNull() & (checked == ""), counts)
+
+
 def retrieve_by_identity(aligned: DataFrame, ids: DataFrame) -> DataFrame:
     """The aligned pairs whose query is listed."""
     return aligned.join(bounded(ids.select("q").distinct()), "q", "left_semi")

@@ -50,6 +50,12 @@ def kmeans_seeds(points: DataFrame, k: int, seed: int, vector: str = "features")
     return centers
 
 
+def random_seeds(points: DataFrame, k: int, seed: int, vector: str = "features") -> list[list[float]]:
+    """k distinct points drawn evenly; fewer where there are no more. Each task sends k points at most."""
+    drawn = points.select(vector).distinct().orderBy(F.xxhash64(vector, F.lit(seed)), vector).limit(k)
+    return [list(map(float, r[0])) for r in drawn.collect()]
+
+
 def kmeans(points: DataFrame, k: int, vector: str = "features", epsilon: float = 1e-4, max_rounds: int = 50, repeats: int = 1, seed: int = 0) -> tuple[DataFrame, list[list[float]], float]:
     """Lloyd's rounds until the cost falls by no more than epsilon of itself; the best of `repeats` starts."""
     best: tuple[float, list[list[float]]] | None = None
@@ -179,6 +185,36 @@ def leaves(merges: list[tuple[int, int, int, float, int]], node: int, n: int) ->
     return out
 
 
+def in_preorder(merges: list[tuple[int, int, int, float, int]], node: int, n: int) -> list[int]:
+    """All nodes of a sub-tree, each before its left and then its right part."""
+    at, out, todo = {m[0]: m for m in merges}, [], [node]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        if x >= n:
+            todo += [at[x][2], at[x][1]]
+    return out
+
+
+def in_order(merges: list[tuple[int, int, int, float, int]], node: int, n: int) -> list[int]:
+    """All nodes of a sub-tree, each between its left and its right part."""
+    at, out, above, x = {m[0]: m for m in merges}, [], [], node
+    while above or x is not None:
+        while x is not None:
+            above.append(x)
+            x = at[x][1] if x >= n else None
+        x = above.pop()
+        out.append(x)
+        x = at[x][2] if x >= n else None
+    return out
+
+
+def mirrored(merges: list[tuple[int, int, int, float, int]], node: int, n: int) -> list[tuple[int, int, int, float, int]]:
+    """The merges with left and right exchanged all through a sub-tree."""
+    turned = {x for x in in_preorder(merges, node, n) if x >= n}
+    return [(m[0], m[2], m[1], *m[3:]) if m[0] in turned else m for m in merges]
+
+
 def cut_tree(merges: list[tuple[int, int, int, float, int]], n: int, cutoff: float) -> list[list[int]]:
     """Leaves of the largest sub-trees merged at the cutoff or below, small clusters first."""
     held = {m[0] for m in merges if m[3] <= cutoff}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.chemistry import RANKS
@@ -31,6 +31,17 @@ def closure(nodes: DataFrame, max_depth: int = 128) -> DataFrame:
     return paths.unionByName(parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up")))
 
 
+def save(nodes: DataFrame, names: DataFrame, folder: str, mode: str = "error") -> None:
+    """Keep a read dump as Parquet, which loads without parsing."""
+    for part, df in (("nodes", nodes), ("names", names)):
+        df.write.mode(mode).parquet(f"{folder.rstrip('/')}/{part}")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and names as they were saved."""
+    return tuple(spark.read.parquet(f"{folder.rstrip('/')}/{part}") for part in ("nodes", "names"))
+
+
 def lineage(paths: DataFrame, ids: DataFrame) -> DataFrame:
     """id, depth, ancestor for the listed ids: depth 0 is the root."""
     own = paths.join(ids.select("id").distinct(), "id", "left_semi")

@@ -50,6 +50,15 @@ def cif_loop_text(values: DataFrame) -> DataFrame:
     return body.select("path", "block", "loop_idx", F.array_join(F.concat(F.array(F.lit("loop_")), "names", "lines"), "\n").alias("value"))
 
 
+def cif_block_text(values: DataFrame) -> DataFrame:
+    """path, value: whole blocks as CIF text: items first, then loops in their order."""
+    items = cif_text(values.withColumn("path", F.struct("path", "block"))).select(F.col("path.path").alias("path"), F.col("path.block").alias("block"), F.col("value").alias("items"))
+    loops = cif_loop_text(values).groupBy("path", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loop_idx", "value"))), lambda x: x["value"]), "\n").alias("loops"))
+    both = items.join(loops, ["path", "block"], "full")
+    head = F.coalesce("items", F.concat(F.lit("data_"), "block", F.lit("\n")))
+    return both.select("path", F.concat(head, F.coalesce(F.concat("loops", F.lit("\n")), F.lit(""))).alias("value"))
+
+
 def deposit_info(deposits: DataFrame) -> DataFrame:
     """path, info: a deposit's metadata as JSON."""
     return deposits.select("path", F.to_json(F.struct(*(c for c in deposits.columns if c != "path"))).alias("info"))

@@ -1,11 +1,14 @@
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from strandframe import cli
 from strandframe.functions import entities as E
-from strandframe.operators import align, building, polymers, spatial, state
+from strandframe.functions import geometry as G
+from strandframe.operators import align, building, clustering, polymers, spatial, state, taxonomy
 from strandframe.plans import polymer_queries as Q
-from pyspark.sql import functions as F
+from strandframe.sources import files, writers
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +80,53 @@ def test_reports_share_one_table(spark):
     out = align.reports(pairs, {"rows": lambda d: d.select("k"), "text": lambda d: d.select(align.pairwise_blocks("q", "t", F.lit("query"), F.lit("t"), 5, 2).alias("v"))})
     assert sorted(r.k for r in out["rows"].collect()) == [1, 2]
     assert any(r.v.startswith("query     1 AC     2\n            | ") for r in out["text"].collect())
+
+
+def test_tree_walks():
+    merges = clustering.dendrogram(np.array([[0, 1, 5], [1, 0, 4], [5, 4, 0]], dtype=float))
+    assert clustering.in_preorder(merges, 4, 3) == [4, 2, 3, 0, 1]
+    assert clustering.in_order(merges, 4, 3) == [2, 4, 0, 3, 1]
+    turned = clustering.mirrored(merges, 4, 3)
+    assert clustering.in_order(turned, 4, 3) == clustering.in_order(merges, 4, 3)[::-1]
+    assert clustering.mirrored(merges, 3, 3)[1] == merges[1] and clustering.mirrored(turned, 4, 3) == merges
+
+
+def test_random_seeds_are_distinct(spark):
+    df = spark.createDataFrame([([float(i % 5), 0.0],) for i in range(40)], "features array<double>")
+    got = clustering.random_seeds(df, 3, 7)
+    assert len({tuple(x) for x in got}) == 3 and clustering.random_seeds(df, 3, 7) == got and len(clustering.random_seeds(df, 9, 7)) == 5
+
+
+def test_path_counts(spark):
+    df = spark.createDataFrame([("**-*|",), ("",), (None,)], "p string")
+    assert [r[0] and tuple(r[0]) for r in df.select(align.path_counts("p")).collect()] == [(3, 1, 1), (0, 0, 0), None]
+    with pytest.raises(PySparkException, match="no alignment steps"):
+        spark.createDataFrame([("*x",)], "p string").select(align.path_counts("p")).collect()
+
+
+def test_identity_matrix_changes_nothing(spark):
+    v = G.vec(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    a, b = spark.range(1).select(v, G.mat_vec(G.identity(), v)).first()
+    assert a == b
+
+
+def test_saved_taxonomy_and_blocks(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, 1, "no rank", "root")], "id long, parent long, rank string, name string")
+    names = spark.createDataFrame([(1, "root")], "tax_id long, name string")
+    taxonomy.save(nodes, names, str(tmp_path / "tax"))
+    assert [d.collect() for d in taxonomy.load(spark, str(tmp_path / "tax"))] == [nodes.collect(), names.collect()]
+    (tmp_path / "a.cif").write_text("data_x\n_a.b 'c d'\nloop_\n_l.i\n_l.j\n1 2\n3 ?\n")
+    values = files.read_cif(spark, str(tmp_path / "a.cif"))
+    text = writers.cif_block_text(values).first().value
+    assert text == "data_x\n_a.b 'c d'\nloop_\n_l.i\n_l.j\n1 2\n3 ?\n"
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("".join(f"{i % 2 * 10 + i / 100} {i / 100}\n" for i in range(20)))
+    run = lambda *a: cli.main([a[0], str(tmp_path / "n.txt"), *a[1:]], spark)
+    assert {r.n for r in run("kmeans", "--clusters", "2").groupBy("cluster").agg(F.count("*").alias("n")).collect()} == {10}
+    assert run("optics", "--radius", "2", "--min-points", "3", "--min-size", "5").select("cluster").distinct().count() == 2
+    assert run("normal").count() > 0
+    (tmp_path / "m.sto").write_text("# STOCKHOLM 1.0\na AC-D\nb ACCD\n//\n")
+    rows = cli.main(["stockholm-to-fasta", str(tmp_path / "m.sto"), "--ungapped"], spark)
+    assert sorted(r.seq for r in rows.collect()) == ["ACCD", "ACD"]
