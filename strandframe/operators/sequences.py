@@ -16,6 +16,8 @@ from strandframe.operators.state import table
 
 #: Rows of an alignment that a tile of all pairs holds on either side.
 TILE_ROWS = 500
+#: Sequences of a lot that hold one k-mer.
+LOT_HOLDERS = 1000
 #: A side is broadcast up to so many rows; beyond, Spark plans the join by its own statistics.
 BROADCAST_ROWS = 200_000
 
@@ -220,7 +222,14 @@ def msa_info(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def kmer_overlaps(df: DataFrame, k: int, least: int = 1, seq: str = "seq", ord_: str = "ord") -> DataFrame:
-    """i, j, shared for i < j: pairs of sequences that share k-mers, by an equi-join on the k-mer."""
-    words = df.select(ord_, F.explode(S.kmers(k, seq)).alias("w"))
-    a, b = words.select(F.col(ord_).alias("i"), "w"), words.select(F.col(ord_).alias("j"), "w")
-    return a.join(b, "w").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """i, j, shared for i < j: pairs of sequences that share k-mers, by an equi-join on the k-mer.
+
+    K-mers of one sequence only leave before the join. The holders of a frequent k-mer are dealt
+    into lots of about LOT_HOLDERS, which meet all holders each in a task of its own.
+    """
+    words = df.select(F.col(ord_).alias("ord"), F.explode(S.kmers(k, seq)).alias("w"))
+    lots = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", F.ceil(F.col("n") / LOT_HOLDERS).cast("int").alias("lots"))
+    held = words.join(lots, "w")
+    a = held.select(F.col("ord").alias("i"), "w", F.pmod(F.xxhash64("ord"), F.col("lots")).cast("int").alias("lot"))
+    b = held.select(F.col("ord").alias("j"), "w", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    return a.join(b, ["w", "lot"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)

@@ -68,3 +68,11 @@ def test_queries_beyond_a_lot_lose_nothing(spark, monkeypatch):
     one = near()
     monkeypatch.setattr(spatial, "BROADCAST_POINTS", 7)
     assert near() == one and len(one) == 60
+
+
+def test_frequent_kmers_are_dealt_into_lots(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "ACDE" if i % 3 else "ACDF") for i in range(30)], "ord long, seq string")
+    whole = {(r.i, r.j, r.shared) for r in O.kmer_overlaps(df, 3).collect()}
+    monkeypatch.setattr(O, "LOT_HOLDERS", 4)
+    assert {(r.i, r.j, r.shared) for r in O.kmer_overlaps(df, 3).collect()} == whole
+    assert whole == {(i, j, 2 if bool(i % 3) == bool(j % 3) else 1) for i in range(30) for j in range(i + 1, 30)}
