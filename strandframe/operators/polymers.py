@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandframe.operators.building import build_chains
+from strandframe.operators.state import table
 
 #: Columns of a definition; `block` names the residue or patch and `def_ord` the place in it.
 DEFINITION = ("res_name", "a_loc", "a", "b_loc", "b", "c_loc", "c", "d_loc", "name", "element", "r", "planar", "dihedral", "dihedral_name")
@@ -86,7 +87,7 @@ def build(atoms: DataFrame, keys: list[str]) -> DataFrame:
 
     An atom may stand on later ones; a polymer whose atoms stand on one another in a ring raises.
     """
-    placed = references(atoms, keys)
+    placed = table(references(atoms, keys), "polymers")  # read twice
     xyz = build_chains(placed.select(*keys, "ord", "r", "planar", "dihedral", *(F.col(f"{p}_ord").alias(p) for p in PLACES)), keys)
     about = placed.select(*keys, "ord", "res_ord", (F.col("res_ord") + 1).cast("int").alias("res_seq"), "res_name", "name", "element", (F.col("ord") + 1).cast("int").alias("serial"))
     return about.join(xyz, [*keys, "ord"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import entities as E
 from strandframe.operators import align, polymers, spatial, structure
+from strandframe.operators.state import table
 from strandframe.plans.queries import query
 from strandframe.plans.structure_queries import _ATOMS, _atoms, _path, _written
 from strandframe.sources import files, writers
@@ -63,7 +64,7 @@ def polymer_ranges(spark, t):
 @query(f"""WITH {_ROWS} SELECT chain, ord, (ord + 1)::INT AS serial, (res_ord + 1)::INT AS res_seq, 'aa ' AS res_name, name, element, round(CASE WHEN ord >= 3 THEN r END, 6) AS bond, round(CASE WHEN ord >= 3 THEN cos(planar) END, 6) AS bend FROM p""")
 def polymer_coordinates(spark, t):
     """Built atoms, whose bonds and angles, measured again, are those of their definitions."""
-    atoms = _polymers(spark, t)
+    atoms = table(_polymers(spark, t), "atoms")
     xyz = polymers.build(atoms, ["chain"])
     refs = polymers.references(atoms, ["chain"]).select("chain", "ord", "b_ord", "c_ord")
     at = lambda p: xyz.select("chain", F.col("ord").alias(f"{p}_ord"), F.array("x", "y", "z").alias(p))
