@@ -257,8 +257,8 @@ def clustalw_round_trip(spark, t):
  'Species ' || c_nationkey || ' of ' || c_mktsegment AS species_name, {_LETTERS} AS sequence, (CASE WHEN c_custkey % 2 = 0 THEN 'sp' ELSE 'tr' END) || '.P' || lpad(c_custkey::VARCHAR, 5, '0') || '.C' || c_custkey || '_HUMAN Protein ' || c_mktsegment || ' OS=Species ' || c_nationkey || ' of ' || c_mktsegment || ' OX=' || (9000 + c_nationkey) AS description FROM customer""")
 def uniprot_round_trip(spark, t):
     value = F.format_string(
-        "ID   C%d_HUMAN   %s;   10 AA.\nAC   P%05d; Q99999;\nDE   RecName: Full=Protein %s {ECO:0000};\nDE            EC=1.2.3.%d;\nDE   AltName: Full=Other;\nOS   Species %d\nOS   of %s\nOX   NCBI_TaxID=%d;\nSQ   SEQUENCE   10 AA;\n     %s\n//",
-        "c_custkey", F.when(F.col("c_custkey") % 2 == 0, "Reviewed").otherwise("Unreviewed"), "c_custkey", "c_mktsegment", "c_nationkey", "c_nationkey", "c_mktsegment", F.col("c_nationkey") + 9000, _letters(),
+        "ID   C%d_HUMAN   %s;   10 AA.\nAC   P%s; Q99999;\nDE   RecName: Full=Protein %s {ECO:0000};\nDE            EC=1.2.3.%d;\nDE   AltName: Full=Other;\nOS   Species %d\nOS   of %s\nOX   NCBI_TaxID=%d;\nSQ   SEQUENCE   10 AA;\n     %s\n//",
+        "c_custkey", F.when(F.col("c_custkey") % 2 == 0, "Reviewed").otherwise("Unreviewed"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), "c_mktsegment", "c_nationkey", "c_nationkey", "c_mktsegment", F.col("c_nationkey") + 9000, _letters(),
     )
     got = files.read_uniprot(spark, _written(t("customer").select(value.alias("value")), "uniprot"))
     return files.record_header(got).select("id", "is_reviewed", "accession", "full_name", "ec", "taxid", "species_name", "sequence", "description")
