@@ -100,11 +100,22 @@ def pdb_compatible(atoms: DataFrame) -> DataFrame:
     return out.withColumn("chain_id", F.when(over, fail.cast("string")).otherwise(F.substr(F.lit(PDB_CHAINS), F.col("__c"), F.lit(1)))).drop("__c")
 
 
+def hybrid36(number: Column | str, width: int) -> Column:
+    """A whole number in `width` places: decimal while it fits, then base 36 with a capital, then with a small letter first."""
+    n = (F.col(number) if isinstance(number, str) else number).cast("long")
+    ten, digits = 10**width, 36 ** (width - 1)
+    fits = n.between(-(10 ** (width - 1)) + 1, ten - 1)
+    capital, small = F.conv((n - ten + 10 * digits).cast("string"), 10, 36), F.lower(F.conv((n - ten - 16 * digits).cast("string"), 10, 36))
+    beyond = F.raise_error(F.concat(n.cast("string"), F.lit(f" does not fit in {width} places"))).cast("string")
+    text = F.when(fits, n.cast("string")).when(n.between(ten, ten + 26 * digits - 1), capital).when(n.between(ten, ten + 52 * digits - 1), small)
+    return F.lpad(text.when(n.isNotNull(), beyond), width, " ")
+
+
 def atom_line() -> Column:
-    """A row as an ATOM or HETATM record."""
+    """A row as an ATOM or HETATM record; numbers too long for their columns are in hybrid-36."""
     kind = F.when(F.col("is_hetero"), "HETATM").otherwise("ATOM  ")
     return F.format_string(
-        "%s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s%2s", kind, "serial", "name", "alt_loc", "res_name", "chain_id", "res_seq", "i_code", "x", "y", "z", "occupancy", "temp_factor",
+        "%s%5s %-4s%1s%3s %1s%4s%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s%2s", kind, hybrid36("serial", 5), "name", "alt_loc", "res_name", "chain_id", hybrid36("res_seq", 4), "i_code", "x", "y", "z", "occupancy", "temp_factor",
         F.coalesce("element", F.lit("")), F.coalesce("charge", F.lit("")),
     )
 

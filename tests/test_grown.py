@@ -39,3 +39,8 @@ def grown(spark, tmp_path):
 def test_uniprot_keys_of_six_digits(grown):
     got, wanted = grown("uniprot_round_trip", customer=123_400)
     assert got == wanted
+
+
+def test_structures_with_numbers_beyond_their_columns(grown):
+    got, wanted = grown("structures_of_any_format", customer=890_000)
+    assert got == wanted

@@ -170,3 +170,15 @@ def test_structure_of_components_and_deposit_files(spark, tmp_path):
     assert atoms.count() == 2 and structure.complete_residues(atoms, reference).count() == 1
     types = files.component_types(values)
     assert [(r.code3, r.kind) for r in types.collect()] == [("ALA", "peptide")]
+
+
+def test_pdb_numbers_beyond_their_columns(spark, tmp_path):
+    numbers = {5: (-9999, 0, 99999, 100_000, 43_770_015, 43_770_016, 87_440_031), 4: (-999, 9999, 10_000, 1_223_055, 1_223_056, 2_436_111)}
+    for width, values in numbers.items():
+        got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, n int").orderBy("k").select(structure.hybrid36("n", width)).collect()]
+        assert [parsers.hybrid36(x) for x in got] == list(values) and {len(x) for x in got} == {width}
+    assert parsers.hybrid36("A0000") == 100_000 and parsers.hybrid36("a000") == 1_223_056
+    (tmp_path / "p.pdb").write_text(ATOM)
+    far = files.read_pdb_atoms(spark, str(tmp_path / "p.pdb")).selectExpr("* except (serial, res_seq)", "3600000 as serial", "899999 as res_seq")
+    (tmp_path / "q.pdb").write_text(far.select(structure.atom_line()).first()[0])
+    assert files.read_pdb_atoms(spark, str(tmp_path / "q.pdb")).select("serial", "res_seq", "i_code", "x").first() == (3_600_000, 899_999, "C", -27.117)
