@@ -101,3 +101,17 @@ def test_identity_clusters_hold_the_level(spark):
     rows = clustering.bucket_clustering(df, 0.9, lots=3).collect()
     of = {r.ord: r.cluster for r in rows}
     assert {i: i // 4 for i in of} == {i: sorted(set(of.values()), key=lambda c: min(k for k in of if of[k] == c)).index(of[i]) for i in of}
+
+
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    import random
+
+    from strandframe.operators import components
+
+    rng = random.Random(3)
+    links = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(None, 1), (7, 7)], "u long, v long")
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    rounds = sorted(map(tuple, components.connected_components(links).collect()))
+    monkeypatch.setattr(components, "FEW_LINKS", 1 << 18)
+    monkeypatch.setattr(components, "large_star", None)
+    assert sorted(map(tuple, components.connected_components(links).collect())) == rounds
