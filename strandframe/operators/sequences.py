@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from strandframe.functions import sequences as S
 from strandframe.operators.state import table
 
 #: Rows of an alignment that a tile of all pairs holds on either side.
-TILE_ROWS = 500
+TILE_ROWS = 1000
+#: Pairs of rows compared side by side.
+BLOCK_PAIRS = 100_000
 #: Sequences of a lot that hold one k-mer.
 LOT_HOLDERS = 1000
 #: A side is broadcast up to so many rows; beyond, Spark plans the join by its own statistics.
@@ -186,26 +189,98 @@ def longest_sequence(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataF
     return msa.groupBy(*keys).agg(best).select(*keys, "r.*")
 
 
-def identity_pairs(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """keys, i, j, identical for i > j: all pairs of rows of one alignment.
-
-    Rows are dealt into tiles of about TILE_ROWS by the size of the largest alignment, and tiles
-    meet tiles, so that an alignment with most of the rows is spread over all tasks.
+def _letter_rows(texts: list[str | None], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters as numbers in rows filled up with `pad`, lengths (-1: null), ungapped lengths."""
+    whole = [t or "" for t in texts]
+    sizes = np.array([-1 if t is None else len(t) for t in texts], np.int32)
+    joined = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)
+    filled = np.maximum(sizes, 0)
+    rows = np.full((len(whole), int(filled.max(initial=0))), pad, np.uint32)
+    rows[np.arange(rows.shape[1]) < filled[:, None]] = joined
+    gaps = np.isin(rows, [ord(g) for g in S.GAPS])
+    ungapped = filled - gaps.sum(axis=1).astype(np.int32)
+    rows[gaps] = pad
+    return rows, sizes, ungapped
+
+
+def _identities(a: list[str | None], b: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, identical positions, whether lengths agree, shorter ungapped lengths) of blocks of a's rows with all of b's."""
+    (x, nx, ux), (y, ny, uy) = _letter_rows(a, 0x110000), _letter_rows(b, 0x110001)
+    if max(x.max(initial=0, where=x < 0x110000), y.max(initial=0, where=y < 0x110000)) < 254:
+        x, y = np.minimum(x, 254).astype(np.uint8), np.where(y < 254, y, 255).astype(np.uint8)
+    columns = np.ascontiguousarray(y.T)
+    step = max(1, BLOCK_PAIRS // max(1, len(b)))
+    for i in range(0, len(a), step):
+        same = np.zeros((len(x[i : i + step]), len(b)), np.uint8 if x.shape[1] < 256 else np.int32)
+        for p in range(min(x.shape[1], y.shape[1])):
+            same += x[i : i + step, p, None] == columns[p]
+        yield i, same, (nx[i : i + step, None] == ny) & (ny >= 0), np.minimum(ux[i : i + step, None], uy)
+
+
+def _tile_pairs(msa: DataFrame, keys: list[str], seq: str, run: Callable, kinds: str) -> DataFrame:
+    """keys and what `run` makes of (ids and texts of one tile, those of another or the same) for every two tiles of an alignment.
+
+    A tile is one row of about TILE_ROWS by the size of the largest alignment, and every two meet
+    in an equi-join, so that an alignment with most of the rows is spread over all tasks.
     """
     largest = msa.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     tiles = -(-largest // TILE_ROWS)
-    own, every = F.pmod(F.xxhash64("ord"), F.lit(tiles)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    a = msa.select(*keys, F.col("ord").alias("i"), F.col(seq).alias("a"), own.alias("__ta"), every.alias("__tb"))
-    b = msa.select(*keys, F.col("ord").alias("j"), F.col(seq).alias("b"), own.alias("__tb"), every.alias("__ta"))
-    pairs = a.join(b, [*keys, "__ta", "__tb"]).where("i > j")
-    return pairs.select(*keys, "i", "j", S.count_identical("a", "b").alias("identical"), S.percent_identity("a", "b").alias("percent"))
+    own = F.pmod(F.xxhash64("ord"), F.lit(tiles)).cast("int")
+    held = msa.select(*keys, own.alias("__t"), F.col("ord").alias("o"), F.col(seq).alias("s")).groupBy(*keys, "__t").agg(F.collect_list(F.struct("o", "s")).alias("rows"))
+    a = held.select(*keys, F.col("rows").alias("a"), F.col("__t").alias("__ta"), F.explode(F.sequence(F.col("__t"), F.lit(tiles - 1))).alias("__tb"))
+    b = held.select(*keys, F.col("rows").alias("b"), F.col("__t").alias("__tb"), F.explode(F.sequence(F.lit(0), F.col("__t"))).alias("__ta"))
+    met = a.hint("merge").join(b, [*keys, "__ta", "__tb"]).select(*keys, "a", "b", (F.col("__ta") == F.col("__tb")).alias("__one"))
+    fields = msa.select(*keys).schema.fields
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    names = [*keys, *(k.split()[0] for k in kinds.split(", "))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                x, y = (batch.column(c).slice(r, 1).flatten() for c in ("a", "b"))
+                for columns in run(x.field("o"), x.field("s").to_pylist(), y.field("o"), y.field("s").to_pylist(), batch.column("__one")[r].as_py()):
+                    at = pa.array(np.full(len(columns[0]), r))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *columns], names)
+
+    return met.mapInArrow(each, head + kinds)
+
+
+def identity_pairs(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """keys, i, j, identical, percent for i > j: all pairs of rows of one alignment, tile by tile."""
+    kind = msa.schema["ord"].dataType.simpleString()
+
+    def run(oa: pa.Array, a: list, ob: pa.Array, b: list, one: bool) -> Iterator[list[pa.Array]]:
+        ia, ib = oa.to_numpy(zero_copy_only=False), ob.to_numpy(zero_copy_only=False)
+        for first, same, fit, short in _identities(a, b):
+            rows = ia[first : first + len(same), None]
+            r, c = np.nonzero(ib < rows if one else ib != rows)
+            n, ok, least = same[r, c].astype(np.int32), fit[r, c], short[r, c]
+            percent = np.divide(100.0 * n, least, out=np.zeros(len(n)), where=least > 0)
+            x, y = ia[first + r], ib[c]
+            yield [pa.array(np.maximum(x, y), oa.type), pa.array(np.minimum(x, y), oa.type), pa.array(n, mask=~ok), pa.array(percent, mask=~ok | (least <= 0))]
+
+    return _tile_pairs(msa, keys, seq, run, f"i {kind}, j {kind}, identical int, percent double")
 
 
 def medoid_sequence(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """keys, ord: the row whose least identity to the others is greatest; ties: longer ungapped, earlier."""
-    pairs = identity_pairs(msa, keys, seq)
-    both = pairs.select(*keys, F.col("i").alias("ord"), "identical").unionByName(pairs.select(*keys, F.col("j").alias("ord"), "identical"))
-    least = both.groupBy(*keys, "ord").agg(F.min("identical").alias("least"))
+    kind = msa.schema["ord"].dataType.simpleString()
+
+    def run(oa: pa.Array, a: list, ob: pa.Array, b: list, one: bool) -> Iterator[list[pa.Array]]:
+        ia, ib = oa.to_numpy(zero_copy_only=False), ob.to_numpy(zero_copy_only=False)
+        none = np.iinfo(np.int32).max
+        of_b, met_b = np.full(len(ib), none), np.zeros(len(ib), bool)
+        for first, same, fit, _ in _identities(a, b):
+            rows = ia[first : first + len(same)]
+            other = rows[:, None] != ib
+            n = np.where(other & fit, same.astype(np.int32), np.int32(none))
+            of_a, met_a = n.min(axis=1), other.any(axis=1)
+            yield [pa.array(rows[met_a], oa.type), pa.array(of_a[met_a].astype(np.int32), mask=of_a[met_a] == none)]
+            if not one:
+                of_b, met_b = np.minimum(of_b, n.min(axis=0)), met_b | other.any(axis=0)
+        yield [pa.array(ib[met_b], oa.type), pa.array(of_b[met_b].astype(np.int32), mask=of_b[met_b] == none)]
+
+    least = _tile_pairs(msa, keys, seq, run, f"ord {kind}, least int").groupBy(*keys, "ord").agg(F.min("least").alias("least"))
     lengths = msa.select(*keys, "ord", S.len_ungapped(seq).alias("len"))
     joined = least.join(lengths, [*keys, "ord"])
     return joined.groupBy(*keys).agg(F.max_by("ord", F.struct("least", "len", -F.col("ord"))).alias("ord"))

@@ -128,3 +128,36 @@ def test_greedy_clusters_align_few_pairs(monkeypatch):
     assert all({x % 40 for x in c} == {x for x in c if x < 40} for c in got)
     assert clustering.common_letters("ABCBDAB", "BDCABA") == 4
     assert clustering.greedy_clusters([(0, "A-"), (1, "A-"), (2, ""), (3, "")], 0.9) == [[0], [1], [2], [3]]
+
+
+def test_identities_and_medoids_by_tiles(spark, monkeypatch):
+    """Several tiles, gaps, rows of other lengths, null rows, an alignment of one row; letters are not walked in the plan."""
+    import random
+
+    from strandframe.functions import sequences as S
+    from strandframe.operators import sequences
+
+    monkeypatch.setattr(sequences, "TILE_ROWS", 7)
+    monkeypatch.setattr(sequences, "BLOCK_PAIRS", 20)
+    monkeypatch.setattr(S, "count_identical", None)
+    rng = random.Random(5)
+    rows = [(m, i, "".join(rng.choice("AC-_é") for _ in range(9 if i % 5 else 8))) for m in "ab" for i in range(25)] + [("a", 50, None), ("b", 51, "---------"), ("c", 1, "ACD")]
+    msa = spark.createDataFrame(rows, "msa string, ord int, seq string")
+    same = lambda x, y: None if x is None or y is None or len(x) != len(y) else sum(p == q and p not in "-_" for p, q in zip(x, y, strict=True))
+    short = lambda x, y: min(sum(c not in "-_" for c in s) for s in (x, y))
+    wanted, best = {}, {}
+    for m, i, x in rows:
+        least = []
+        for n, j, y in rows:
+            if m == n and i != j:
+                v = same(x, y)
+                least.append(v)
+                if i > j:
+                    wanted[m, i, j] = (v, None if v is None or not short(x, y) else 100.0 * v / short(x, y))
+        known = [v for v in least if v is not None]
+        if least:
+            key = (min(known) if known else -1, sum(c not in "-_" for c in x or ""), -i)
+            best[m] = max(best.get(m, ((-2,),)), (key, i))
+    got = sequences.identity_pairs(msa, ["msa"]).collect()
+    assert {(r.msa, r.i, r.j): (r.identical, r.percent) for r in got} == wanted and len(got) == len(wanted)
+    assert {r.msa: r.ord for r in sequences.medoid_sequence(msa, ["msa"]).collect()} == {m: b[1] for m, b in best.items()}
