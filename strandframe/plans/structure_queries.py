@@ -210,10 +210,14 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/strandframe/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a written text file, which a reader holds as a whole.
+FILE_ROWS = 20_000
+
+
 def _written(df: DataFrame, name: str) -> str:
-    """The folder of text files that hold the rows' `value`."""
+    """The folder of text files that hold the rows' `value`, FILE_ROWS each at most."""
     path = _path(df.sparkSession, name)
-    df.select("value").write.text(path)
+    df.select("value").write.option("maxRecordsPerFile", FILE_ROWS).text(path)
     return path
 
 

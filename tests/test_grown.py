@@ -44,3 +44,12 @@ def test_uniprot_keys_of_six_digits(grown):
 def test_structures_with_numbers_beyond_their_columns(grown):
     got, wanted = grown("structures_of_any_format", customer=890_000)
     assert got == wanted
+
+
+def test_written_texts_are_of_bounded_files(spark, monkeypatch):
+    from strandframe.plans import structure_queries as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 10)
+    path = Q._written(spark.range(35).coalesce(1).selectExpr("cast(id as string) as value"), "bounded")
+    sizes = [r["n"] for r in spark.read.text(path).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sorted(sizes) == [5, 10, 10, 10]
