@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from strandframe.functions import sequences as S
+from strandframe.operators.spatial import rounded
 from strandframe.operators.state import table
 
 #: Rows of an alignment that a tile of all pairs holds on either side.
@@ -245,19 +246,35 @@ def _tile_pairs(msa: DataFrame, keys: list[str], seq: str, run: Callable, kinds:
     return met.mapInArrow(each, head + kinds)
 
 
-def identity_pairs(msa: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """keys, i, j, identical, percent for i > j: all pairs of rows of one alignment, tile by tile."""
+def _percents(n: np.ndarray, least: np.ndarray, digits: int | None) -> np.ndarray:
+    """100 n / least, rounded as `round` of a column does; the few different values are rounded once."""
+    if digits is None or not len(n):
+        return np.divide(100.0 * n, least, out=np.zeros(len(n)), where=least > 0)
+    width = int(least.max()) + 1
+    key = n.astype(np.int64) * width + least
+    values = np.nonzero(np.bincount(key))[0] if (int(n.max()) + 1) * width < 1 << 20 else np.unique(key)
+    top, low = values // width, values % width
+    percents = rounded(np.divide(100.0 * top, low, out=np.zeros(len(values)), where=low > 0), digits)
+    if values[-1] >= 1 << 20:
+        return percents[np.searchsorted(values, key)]
+    table = np.zeros(values[-1] + 1)
+    table[values] = percents
+    return table[key]
+
+
+def identity_pairs(msa: DataFrame, keys: list[str], seq: str = "seq", digits: int | None = None) -> DataFrame:
+    """keys, i, j, identical, percent for i > j: all pairs of rows of one alignment, tile by tile; percent to some digits, if given."""
     kind = msa.schema["ord"].dataType.simpleString()
 
     def run(oa: pa.Array, a: list, ob: pa.Array, b: list, one: bool) -> Iterator[list[pa.Array]]:
         ia, ib = oa.to_numpy(zero_copy_only=False), ob.to_numpy(zero_copy_only=False)
         for first, same, fit, short in _identities(a, b):
             rows = ia[first : first + len(same), None]
-            r, c = np.nonzero(ib < rows if one else ib != rows)
-            n, ok, least = same[r, c].astype(np.int32), fit[r, c], short[r, c]
-            percent = np.divide(100.0 * n, least, out=np.zeros(len(n)), where=least > 0)
-            x, y = ia[first + r], ib[c]
-            yield [pa.array(np.maximum(x, y), oa.type), pa.array(np.minimum(x, y), oa.type), pa.array(n, mask=~ok), pa.array(percent, mask=~ok | (least <= 0))]
+            met = ib < rows if one else ib != rows
+            pick = (lambda m: np.broadcast_to(m, met.shape).ravel()) if met.all() else (lambda m: np.broadcast_to(m, met.shape)[met])  # noqa: B023, E731
+            x, y, n, ok, least = pick(rows), pick(ib), pick(same).astype(np.int32), pick(fit), pick(short)
+            some = (lambda m: None if m.all() else ~m)
+            yield [pa.array(np.maximum(x, y), oa.type), pa.array(np.minimum(x, y), oa.type), pa.array(n, mask=some(ok)), pa.array(_percents(n, least, digits), mask=some(ok & (least > 0)))]
 
     return _tile_pairs(msa, keys, seq, run, f"i {kind}, j {kind}, identical int, percent double")
 

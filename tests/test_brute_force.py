@@ -217,3 +217,28 @@ def test_optics_orders_points_without_a_list_of_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(900, None, 1.0)], "id long, x double, y double")
     got = {r.id: (r.cluster, r.position, r.reachability) for r in clustering.optics(df, "id", ["x", "y"], eps, least).collect()}
     assert got == wanted
+
+
+def test_rounding_equals_that_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators.spatial import rounded
+
+    rng = np.random.default_rng(14)
+    halves = (rng.integers(0, 10**9, 3000) * 10 + 5) / 10.0**7
+    x = np.concatenate([rng.uniform(-50, 50, 3000), halves, -halves, 100.0 * np.arange(1, 19) / 18, [0.0, 1e14, 2.5e-7, 1.0000005]])
+    wanted = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
+    assert rounded(x, 6).tolist() == wanted
+
+
+def test_identity_pairs_round_in_their_tiles(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators import sequences
+
+    monkeypatch.setattr(sequences, "TILE_ROWS", 10)
+    rng = np.random.default_rng(15)
+    rows = [(1, i, "".join(rng.choice(list("AC-"), 7 + (i % 9 == 0)))) for i in range(45)] + [(1, 45, None), (1, 46, "-------")]
+    msa = spark.createDataFrame(rows, "msa int, ord long, seq string")
+    plain = sequences.identity_pairs(msa, ["msa"]).withColumn("percent", F.round("percent", 6)).collect()
+    assert sorted(map(str, sequences.identity_pairs(msa, ["msa"], digits=6).collect())) == sorted(map(str, plain)) and len(plain) == 47 * 46 // 2
