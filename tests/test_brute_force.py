@@ -242,3 +242,43 @@ def test_identity_pairs_round_in_their_tiles(spark, monkeypatch):
     msa = spark.createDataFrame(rows, "msa int, ord long, seq string")
     plain = sequences.identity_pairs(msa, ["msa"]).withColumn("percent", F.round("percent", 6)).collect()
     assert sorted(map(str, sequences.identity_pairs(msa, ["msa"], digits=6).collect())) == sorted(map(str, plain)) and len(plain) == 47 * 46 // 2
+
+
+def _model_atoms(spark, n, deposits=2):
+    rng = np.random.default_rng(16)
+    rows = []
+    for d in range(deposits):
+        at, ord_ = rng.uniform(-9, 9, size=(n, 3)), 0
+        for r in range(n):
+            for k in range(1 + r % 3):
+                x, y, z = (float(v) for v in np.round(at[r] + rng.normal(0, 0.8, 3), 1))
+                rows.append((f"d{d}", 1, ord_, "ABC"[r % 3], r, " ", " X  ", x, None if r == 5 else y, z))
+                ord_ += 1
+    kinds = "deposit_id string, model int, atom_ord int, chain_id string, res_seq int, i_code string, name string, x double, y double, z double"
+    return spark.createDataFrame(rows, kinds), rows
+
+
+def _apart(a, b):
+    return None if a[8] is None or b[8] is None else float(np.sqrt((a[7] - b[7]) * (a[7] - b[7]) + (a[8] - b[8]) * (a[8] - b[8]) + (a[9] - b[9]) * (a[9] - b[9])))
+
+
+def _top_down(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_map_sends_pairs_on_without_a_shuffle(spark, monkeypatch):
+    from strandframe.operators import structure
+
+    atoms, rows = _model_atoms(spark, 40)
+    wanted = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[4] > b[4]:
+                d, key = _apart(a, b), (a[0], a[4], b[4])
+                wanted[key] = d if wanted.get(key) is None else wanted[key] if d is None else min(d, wanted[key])
+    for block in (structure.BLOCK, 60):
+        monkeypatch.setattr(structure, "BLOCK", block)
+        got = structure.distance_map(atoms, 7)
+        assert {(r.deposit_id, r.a_res_ord, r.b_res_ord): r.distance for r in got.collect()} == wanted and got.count() == len(wanted)
+    plan = _top_down(structure.distance_map(atoms, 7))
+    assert plan.index("MapInArrow") < plan.index("Exchange")
