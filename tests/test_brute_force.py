@@ -282,3 +282,19 @@ def test_distance_map_sends_pairs_on_without_a_shuffle(spark, monkeypatch):
         assert {(r.deposit_id, r.a_res_ord, r.b_res_ord): r.distance for r in got.collect()} == wanted and got.count() == len(wanted)
     plan = _top_down(structure.distance_map(atoms, 7))
     assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_contacts_of_many_atoms_in_little_space(spark, monkeypatch):
+    from strandframe.operators import spatial, structure
+
+    atoms, rows = _model_atoms(spark, 90)
+    wanted = {(a[0], a[2], b[2]): _apart(a, b) for a in rows for b in rows if a[0] == b[0] and a[4] > b[4]}
+    for block, cutoff in ((spatial.BLOCK, 3.0), (40, 1.7)):
+        monkeypatch.setattr(spatial, "BLOCK", block)
+        monkeypatch.setattr(spatial, "BATCH", block)
+        near = {k: d for k, d in wanted.items() if d is not None and d <= cutoff}
+        found = structure.contacts(atoms, cutoff).collect()
+        assert {(r.a_deposit_id, r.a_atom_ord, r.b_atom_ord): r.distance for r in found} == near and len(found) == len(near) > 50
+        assert all((r.a_res_seq, r.b_name, r.b_chain_id) == (r.a_res_ord, " X  ", "ABC"[r.b_res_ord % 3]) for r in found)
+    plan = _top_down(structure.contacts(atoms, 3.0, ["atom_ord"]))
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
