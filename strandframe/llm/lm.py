@@ -34,16 +34,17 @@ SPELL_LOGS = (16, 20)
 GATES, CONTEXTS, SPELL_CONTEXTS = 12, 3, 4
 #: The speller learns from the training words met so often at most, and from all that are not broadcast.
 RARE = 8
-#: Weights that every text starts with (no context, class, word before), and the speller's fixed ones.
+#: Weights that every text starts with (no context, class, word before), and those that its spelling starts with.
 START = (-0.5, 0.9, 0.6)
 SPELL_WEIGHTS = (0.3, 0.4, 0.2, 0.3)
 #: Observations that a context's counts are held back by, towards those of the shorter context.
 HOLD, SPELL_HOLD = 3.0, 4.0
-#: Tokens of a text before its weights first learn; each later block is as long as all before it.
-FIRST = 128
+#: Tokens of a text before its weights first learn; each later block is as long as all before it. New words, for those of the spelling.
+FIRST, SPELL_FIRST = 16, 2
 RATE, PAST = 1.0, 20.0
-#: Bytes of texts coded at once.
-SLICE = 2 << 20
+SPELL_RATE, SPELL_PAST = 1.0, 20.0
+#: Bytes of texts coded at once, and words spelled at once.
+SLICE, LOT = 2 << 20, 20_000
 
 
 def code_lengths(counts: list[int]) -> list[int]:
@@ -221,17 +222,52 @@ class Speller:
         x *= u(0x27D4EB2F)
         return (x >> u(32 - self.log)).astype(np.intp)
 
-    def costs(self, pairs: list[tuple[int, bytes]], tables: list[np.ndarray]) -> np.ndarray:
-        """Bits of each pair's word, by predictors that are each held back towards the one before, mixed by fixed weights."""
-        out = np.zeros(len(pairs))
-        for slots, bit, own in self.decisions(pairs):
-            p, x = 0.5, np.float32(0)
-            for slot, counts, weight, hold in zip(slots, tables, SPELL_WEIGHTS, (0.8, *[SPELL_HOLD] * (SPELL_CONTEXTS - 1)), strict=True):
-                n = counts[slot].astype(np.float32)
-                p = np.clip((n[:, 1] + np.float32(hold) * p) / (n[:, 0] + n[:, 1] + np.float32(hold)), 1e-6, 1 - 1e-6)
-                x = x + np.float32(weight) * logit(p)
-            x = np.clip(x, -25, 25) * (np.float32(1) - np.float32(2) * bit.astype(np.float32))
-            out += np.bincount(own, weights=np.log1p(np.exp(x)), minlength=len(pairs))
+    def costs(self, pairs: list[tuple[int, bytes]], tables: list[np.ndarray], owner: np.ndarray | None = None) -> np.ndarray:
+        """Bits of each pair's word, by predictors that are each held back towards the one before, in a logistic mix.
+
+        Pairs of one owner, a text, follow one another. Each text's weights, one set a gate, start
+        alike and learn block by block of its words; without owners each pair is on its own.
+        """
+        out, done = np.zeros(len(pairs)), 0
+        owner = np.arange(len(pairs)) if owner is None else owner
+        ends = np.append(np.nonzero(np.diff(owner))[0] + 1, len(pairs)) if pairs else []
+        while done < len(pairs):  # whole texts, as many as one lot holds, or one
+            upto = int(ends[max(np.searchsorted(ends, done + LOT, side="right") - 1, np.searchsorted(ends, done, side="right"))])
+            out[done:upto] = self._costs(pairs[done:upto], tables, np.unique(owner[done:upto], return_inverse=True)[1])
+            done = upto
+        return out
+
+    def _costs(self, pairs: list[tuple[int, bytes]], tables: list[np.ndarray], owner: np.ndarray) -> np.ndarray:
+        out, texts = np.zeros(len(pairs)), int(owner[-1]) + 1
+        place = np.arange(len(pairs)) - np.searchsorted(owner, owner)
+        block = np.where(place < SPELL_FIRST, 0, np.log2(np.maximum(place, 1) / SPELL_FIRST).astype(np.int64) + 1)
+        last = np.zeros(texts, np.int64)
+        last[owner] = block  # places rise within a text
+        w = np.tile(np.array(SPELL_WEIGHTS, np.float32)[:, None], (1, texts * GATES))
+        for b in range(int(block.max()) + 1):
+            inside = np.nonzero(block == b)[0]
+            learns = last[owner[inside]] > b
+            gain, seen = np.zeros((SPELL_CONTEXTS, texts * GATES)), np.zeros(texts * GATES)
+            for chosen, learn in ((inside[learns], True), (inside[~learns], False)):
+                for part in (chosen[i : i + LOT] for i in range(0, len(chosen), LOT)):
+                    for depth, (slots, bit, own) in enumerate(self.decisions([pairs[i] for i in part.tolist()])):
+                        key = owner[part[own]] * GATES + min(depth, GATES - 1)
+                        p, x, stretched = 0.5, np.float32(0), []
+                        for k, (slot, counts, hold) in enumerate(zip(slots, tables, (0.8, *[SPELL_HOLD] * (SPELL_CONTEXTS - 1)), strict=True)):
+                            n = counts[slot].astype(np.float32)
+                            p = np.clip((n[:, 1] + np.float32(hold) * p) / (n[:, 0] + n[:, 1] + np.float32(hold)), 1e-6, 1 - 1e-6)
+                            stretched.append(logit(p))
+                            x = x + w[k][key] * stretched[-1]
+                        x = np.clip(x, -25, 25)
+                        bit = bit.astype(np.float32)
+                        out += np.bincount(part[own], weights=np.log1p(np.exp(x * (np.float32(1) - np.float32(2) * bit))), minlength=len(pairs))
+                        if learn:
+                            miss = bit - 1 / (1 + np.exp(-x))
+                            for k, s in enumerate(stretched):
+                                gain[k] += np.bincount(key, weights=miss * s, minlength=texts * GATES)
+                            seen += np.bincount(key, minlength=texts * GATES)
+            if learns.any():
+                w += (SPELL_RATE * gain / (seen + SPELL_PAST)).astype(np.float32)
         return out / np.log(2)
 
 
@@ -350,7 +386,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1
 
 
-def _lots(items: list, n: int = 20_000) -> Iterator[list]:
+def _lots(items: list, n: int = LOT) -> Iterator[list]:
     return (items[i : i + n] for i in range(0, len(items), n))
 
 
@@ -393,7 +429,8 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
     for others. Logistic mixing adds the three by weights gated by depth; each text starts with
     the same weights and refines them online, block by block. Another word is an escape, then
     either one of the training words beyond the tree, by its count, or a new one (Witten and
-    Bell's estimate), spelled byte by byte in four hashed contexts.
+    Bell's estimate), spelled byte by byte in four hashed contexts, whose mix each text refines
+    from its own new words in their order, in the same way.
 
     Tables hold whole-number counts over all training rows, so nothing depends on how rows are
     dealt; they grow with the training tokens up to 2**MOST_LOG and 2**SPELL_LOGS[1] slots. The
@@ -481,18 +518,18 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
             words = new_words.flatten()
             owner = np.repeat(np.arange(len(batch)), pc.list_value_length(new_words).fill_null(0).to_numpy(zero_copy_only=False))
             pairs = list(zip(kind.to_numpy()[owner].tolist(), words.field("word").to_pylist(), strict=True))
-            cost = np.concatenate([np.zeros(0), *(spell.costs(part, tables) for part in _lots(pairs))])
+            cost = spell.costs(pairs, tables, owner)
             whole = batch.column("score").to_numpy() - np.log10(2) * np.bincount(owner, weights=cost * words.field("tf").to_numpy(), minlength=len(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(whole), pa.array(-whole / np.log10(2) / size.to_numpy())], [*names, "text_score", "bits_per_byte"])
 
     kinds = "id long, n_tokens long, n_known long, base double, score double, size long, kind int, far array<struct<word: binary, tf: long>>"
     rows = table(marked.select("id", "text").mapInArrow(lean(scored), kinds).withColumn("row", F.monotonically_increasing_id()), "scored")
-    far = rows.select("row", F.explode("far").alias("f")).select("row", "f.*").join(counts, "word", "left")
+    far = rows.select("row", F.posexplode("far").alias("at", "f")).select("row", "at", "f.*").join(counts, "word", "left")
     listed = F.log10("n") + F.lit(float(known)) - F.lit(float(new))
     gains = {"more_base": F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)), "more_score": listed}
     is_new = F.col("n").isNull()
     sums = [F.sum(F.when(~is_new, F.col("tf"))).alias("more_known"), *(F.sum(F.col("tf") * g).alias(c) for c, g in gains.items())]
-    more = far.groupBy("row").agg(*sums, F.collect_list(F.when(is_new, F.struct("word", "tf"))).alias("fresh"))
+    more = far.groupBy("row").agg(*sums, F.array_sort(F.collect_list(F.when(is_new, F.struct("at", "word", "tf")))).alias("fresh"))
     plus = lambda c, m: (F.col(c) + F.coalesce(m, F.lit(0))).alias(c)
     out = rows.drop("far").join(more, "row", "left")
     names = ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -451,6 +451,35 @@ def test_speller_probabilities_add_up():
     assert lm.Speller([], 0).costs([(0, b"")], [np.zeros((1 << 16, 2), np.uint16)] * lm.SPELL_CONTEXTS)[0] > 0
 
 
+def test_speller_refines_its_mix_within_a_text(monkeypatch):
+    train = [b"abab%d" % i for i in range(40)]
+    spell = lm.Speller(train, 100)
+    tables = [np.zeros((1 << spell.log, 2), np.uint16) for _ in range(lm.SPELL_CONTEXTS)]
+    for slots, bit, _ in spell.decisions([(3, w) for w in train]):
+        for t, slot in zip(tables, slots, strict=True):
+            np.add.at(t, (slot, bit), np.uint16(1))
+    pairs = [(3, b"abab%d" % (i % 40)) for i in range(60)] + [(3, b"zq%d" % i) for i in range(7)] + [(3, b"abab1")]
+    owner = np.array([4] * 60 + [6] * 7 + [9])
+    alone, mixed = spell.costs(pairs, tables), spell.costs(pairs, tables, owner)
+    assert mixed[: lm.SPELL_FIRST].tolist() == alone[: lm.SPELL_FIRST].tolist() and mixed[-1] == alone[-1]
+    assert mixed[lm.SPELL_FIRST : 60].sum() < alone[lm.SPELL_FIRST : 60].sum()
+    each = [spell.costs([p for p, o in zip(pairs, owner, strict=True) if o == k], tables, np.zeros((owner == k).sum(), int)) for k in (4, 6, 9)]
+    assert np.concatenate(each) == pytest.approx(mixed, rel=1e-6)
+    monkeypatch.setattr(lm, "LOT", 5)
+    assert spell.costs(pairs, tables, owner) == pytest.approx(mixed, rel=1e-5)
+
+
+def test_lm_refines_the_mix_of_short_texts():
+    words = [(b"w%d" % i, 40 - i) for i in range(30)]
+    code = lm.Coder(words, [], 1, 700)
+    flat, owner, _, sym, place, row, _, kind = code.units([b" ".join(b"w%d" % (20 + i % 3) for i in range(100))])
+    plain = [np.zeros((lm.CLASSES + 1) * code.nodes, np.float16), np.zeros(code.rows * code.width, np.float16)]
+    bits = lm.Mixer(code, *plain).bits(1, owner, sym, place, row, kind)[0]
+    x = np.clip(lm.START[0] * lm.logit(code.p0)[code.path >> 1], -20, 20) * (1 - 2 * (code.path & 1).astype(float))
+    fixed = np.log2(lm.CLASSES + 1.0) + sum(np.log2(1 + np.exp(x[code.starts[s] : code.starts[s + 1]])).sum() for s in sym)
+    assert len(flat) < 128 and abs(bits - fixed) > 1e-3 * fixed
+
+
 def test_lm_counts_of_rare_words_come_by_a_join(spark, monkeypatch):
     rows = [(i, " ".join(f"r{i * 7 + k} r{k} end" for k in range(9))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
