@@ -298,3 +298,22 @@ def test_contacts_of_many_atoms_in_little_space(spark, monkeypatch):
         assert all((r.a_res_seq, r.b_name, r.b_chain_id) == (r.a_res_ord, " X  ", "ABC"[r.b_res_ord % 3]) for r in found)
     plan = _top_down(structure.contacts(atoms, 3.0, ["atom_ord"]))
     assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_contacts_are_measured_in_small_blocks_and_sent_in_few_batches():
+    import tracemalloc
+
+    from strandframe.operators import spatial
+
+    rng = np.random.default_rng(17)
+    x, rank = rng.uniform(0, 6, size=(1500, 3)), np.arange(1500)
+    tracemalloc.start()
+    blocks, peak = 0, 0
+    for a, _, _ in spatial._ranked_neighbours(x, rank, np.ones(1500, bool), 4.0):
+        blocks, peak = blocks + 1, max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert blocks > 10 and peak < 8_000_000
+    apart = [(np.arange(n), np.full(n, float(n))) for n in (3, 0, 4, 1, 9, 2)]
+    got = list(spatial.gathered(iter(apart), 8))
+    assert [len(i) for i, _ in got] == [8, 9, 2] and np.concatenate([d for _, d in got]).tolist() == np.concatenate([d for _, d in apart]).tolist()
+    assert list(spatial.gathered(iter([]), 8)) == []
