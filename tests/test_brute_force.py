@@ -317,3 +317,18 @@ def test_contacts_are_measured_in_small_blocks_and_sent_in_few_batches():
     got = list(spatial.gathered(iter(apart), 8))
     assert [len(i) for i, _ in got] == [8, 9, 2] and np.concatenate([d for _, d in got]).tolist() == np.concatenate([d for _, d in apart]).tolist()
     assert list(spatial.gathered(iter([]), 8)) == []
+
+
+def test_distance_maps_are_measured_in_small_blocks():
+    import tracemalloc
+
+    from strandframe.operators import structure
+
+    rng = np.random.default_rng(18)
+    r, x = np.arange(2000), rng.uniform(0, 20, size=(2000, 3))
+    tracemalloc.start()
+    pairs, peak = 0, 0
+    for i, _, _ in structure._least_distances(r, x, r, x):
+        pairs, peak = pairs + len(i), max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert pairs == 2000 * 1999 // 2 and peak < 8_000_000
